@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .near_dedup import op4_near_duplicates
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_near_duplicates": op4_near_duplicates,
 }
 SQL: dict[str, str] = {}
