@@ -102,3 +102,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.zeros(n + 1, bool)
     ends[1:] = solid[:-1] & (~solid[1:] | begins[1:])
     return start, np.flatnonzero(ends), np.searchsorted(start, offsets)
+
+
+def schema_of(fields, *more: str) -> str:
+    """A DDL schema of Spark's fields and further "name type" parts."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields), *more])
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """batch with columns put in the place of those of the same name, or at the end."""
+    made = dict(zip(batch.schema.names, batch.columns, strict=True)) | columns
+    return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))

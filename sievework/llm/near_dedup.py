@@ -201,8 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, repeats of a kept row left out."""
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    named = docs.mapInArrow(_named, f"{kind}, __cls binary")
+    named = docs.mapInArrow(_named, T.schema_of(docs.schema, "__cls binary"))
     marks = near_duplicates(docs, percent).filter("kept and cls is not null").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__c")).distinct()
     full = named.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__cls") == F.col("__c")), "left_semi").dropDuplicates(["doc_id", "__cls"])
     return full.unionByName(named.filter("__cls is null")).select(*docs.columns)
@@ -215,7 +214,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, part, at in T.blocks(data, offsets):
             value, bounds = shingles(part, at)
             found.append(_binary(class_keys(value, bounds), np.diff(bounds) > 0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(found) if found else pa.array([], pa.binary())], names=[*batch.schema.names, "__cls"])
+        yield T.with_columns(batch, {"__cls": pa.concat_arrays(found) if found else pa.array([], pa.binary())})
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

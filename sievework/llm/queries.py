@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
+from .pii import op5_personal_data
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_personal_data": op5_personal_data,
 }
 SQL: dict[str, str] = {}
