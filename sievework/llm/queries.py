@@ -5,9 +5,11 @@ from __future__ import annotations
 from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
 from .pii import op5_personal_data
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_personal_data": op5_personal_data,
 }
