@@ -35,9 +35,6 @@ from ._labels import held_out, training
 FIT_EACH = 3000
 #: Terms in a lexicon at most, the likelihood ratio and log odds ratio that a term needs, and lengths of beginnings of words.
 MAX_TERMS, RATIO, ODDS, STEMS = 400, 20.0, 5.0, (4, 5, 6)
-#: Rounds of the fit; each looks at the toxic texts that the lexicon so far has left unexplained.
-#: A second round gained nothing on held-out rows and let chance words in, so one is the default.
-PASSES = 1
 THRESHOLD = 0.3
 #: What a document without any event scores before rows have been learned from, and weights of the five ways.
 PRIOR = (-3.0, np.array([2.0, 2.5, 0.6, 0.8, 2.5]))
@@ -166,22 +163,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _terms(lexicon: Lexicon):
-    """Terms of each text with its label, and "" once for the text; toxic texts in which lexicon has found an event are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, marks = [], []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                if y and events(text or "", lexicon).any():
-                    continue
-                words = {w for w in _SYMBOL.findall((text or "").lower()) if len(w) > 2}
-                mine = {""} | {"=" + w for w in words} | {"^" + w[:n] for w in words for n in STEMS if len(w) > n}
-                terms += mine
-                marks += [y] * len(mine)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "label": pa.array(marks, pa.int32())})
-
-    return run
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each text with its label, and "" once for the text itself."""
+    for batch in batches:
+        terms, marks = [], []
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            words = {w for w in _SYMBOL.findall((text or "").lower()) if len(w) > 2}
+            mine = {""} | {"=" + w for w in words} | {"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+            terms += mine
+            marks += [y] * len(mine)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "label": pa.array(marks, pa.int32())})
 
 
 def _ratio(a: float, n: float, b: float, m: float) -> float:
@@ -231,16 +222,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int
     """
     rows = training(docs, labels, "toxic", modulus, rest, each).cache()
     lexicon = Lexicon({w: 4.0 for w in INSULTS}, {})
-    for _ in range(PASSES):
-        counts = rows.mapInArrow(_terms(lexicon), "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).cache()
-        n, m = next(((r.a, r.b) for r in counts.filter("term = ''").collect()), (0, 0))
-        if n and m:
-            # The ratio can't reach RATIO with fewer toxic texts.
-            likely = counts.filter((F.col("term") != "") & (F.col("a") >= RATIO / 2 / math.log((n + m) / n)) & (F.col("a") * m > 10 * F.col("b") * n))
-            lexicon = grown(lexicon, [tuple(r) for r in likely.orderBy(F.desc(F.col("a") - F.col("b") * n / m), "term").limit(MAX_TERMS).collect()], n, m)
-        counts.unpersist()
-        if not n or not m:
-            break
+    counts = rows.mapInArrow(_terms, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).cache()
+    n, m = next(((r.a, r.b) for r in counts.filter("term = ''").collect()), (0, 0))
+    if n and m:
+        # The ratio can't reach RATIO with fewer toxic texts.
+        likely = counts.filter((F.col("term") != "") & (F.col("a") >= RATIO / 2 / math.log((n + m) / n)) & (F.col("a") * m > 10 * F.col("b") * n))
+        lexicon = grown(lexicon, [tuple(r) for r in likely.orderBy(F.desc(F.col("a") - F.col("b") * n / m), "term").limit(MAX_TERMS).collect()], n, m)
+    counts.unpersist()
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
