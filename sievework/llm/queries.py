@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
 from .pii import op5_personal_data
+from .quality import op7_quality
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -12,5 +13,6 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_personal_data": op5_personal_data,
+    "op7_quality": op7_quality,
 }
 SQL: dict[str, str] = {}
