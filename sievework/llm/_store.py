@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over, as it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,6 +6,7 @@ from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
 from .pii import op5_personal_data
 from .quality import op7_quality
+from .repeats import op10_repeats
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_personal_data": op5_personal_data,
     "op7_quality": op7_quality,
+    "op10_repeats": op10_repeats,
 }
 SQL: dict[str, str] = {}

@@ -40,3 +40,21 @@ def near(rows: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tup
                         a, b = sorted((root(x), root(y)))
                         up[b] = a
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+
+
+def repeats(rows: list[tuple[int, str | None]], length: int = 200) -> dict[int, tuple[int, int, int, str]]:
+    """doc_id to (n_bytes, n_removed, n_spans, kept_sha256), for rows with different ids."""
+    import hashlib
+    from collections import Counter
+
+    raw = {i: (t or "").encode() for i, t in rows}
+    seen = Counter(b[s : s + length] for b in raw.values() for s in range(len(b) - length + 1))
+    out = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if seen[b[s : s + length]] > 1:
+                gone[s : s + length] = b"\x01" * length
+        runs = sum(1 for s in range(len(b)) if gone[s] and (s == 0 or not gone[s - 1]))
+        out[i] = len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()
+    return out
