@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .media import op6_media_columns
 from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
 from .pii import op5_personal_data
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_personal_data": op5_personal_data,
+    "op6_media_columns": op6_media_columns,
     "op7_quality": op7_quality,
     "op10_repeats": op10_repeats,
 }
