@@ -12,9 +12,10 @@ are 85 % alike meet in none of BANDS buckets with probability below 1e-8.
 Candidates are leaders of a bucket against its members, never all pairs: a
 round compares each bucket's leaders with the members that are not yet known to
 be connected to them, then a bucket whose members are all connected is done,
-and the others go on with new leaders, four times as many, until a bucket has
-no member left that hasn't led. Each pair is confirmed on the full sets, so no
-link that the bands show is lost and none is false.
+and the others go on with new leaders, eight times as many, until a bucket has
+no member left that hasn't led. A pair is passed over if the elements that
+only one set has anywhere already rule it out. Each other pair is confirmed on
+the full sets, so no link that the bands show is lost and none is false.
 
 How the plan grows: shuffled are BANDS rows for each distinct set, the texts of
 those sets that share a bucket, and a pair for each member and leader. Large
@@ -124,11 +125,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = T.buffers(batch.column("text"))
         for _, _, part, at in T.blocks(data, offsets):
             value, bounds = shingles(part, at)
-            yield pa.RecordBatch.from_pydict({"cls": _binary(class_keys(value, bounds), np.diff(bounds) > 0), "items": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64), pa.int64()))})
+            keys = class_keys(value, bounds)
+            halves = {f"key{j}": pa.array(np.ascontiguousarray(keys[:, j]).view(np.int64), pa.int64()) for j in (0, 1)}
+            yield pa.RecordBatch.from_pydict({"cls": _binary(keys, np.diff(bounds) > 0), "items": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64), pa.int64()))} | halves)
 
 
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _own(sets: DataFrame) -> DataFrame:
+    """(cls, n, own): the size of each set and how many of its elements are in no other one."""
+    each = sets.select("key0", "key1", F.explode("items").alias("item"))
+    single = each.groupBy("item").agg(F.count(F.lit(1)).alias("__m"), F.min("key0").alias("key0"), F.min("key1").alias("key1")).filter("__m = 1")
+    counts = single.groupBy("key0", "key1").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("cls", "key0", "key1", F.size("items").alias("n")).join(counts, ["key0", "key1"], "left").select("cls", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _possible(n: Column, own: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m can be alike, as what only one of them has is in no intersection."""
+    both = F.least(n - own, m - other)
+    return both * 100 >= (n + m - both) * percent
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,35 +161,36 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
     """(cls, comp): for each class that is linked to another, the smallest class it reaches."""
-    classes = signed.filter("n_shingles > 0").select("cls", "n_shingles", "bands").dropDuplicates(["cls"])
-    members = classes.select("cls", "n_shingles", F.explode("bands").alias("band"))
+    classes = signed.filter("n_shingles > 0").select("cls", "bands").dropDuplicates(["cls"])
+    members = classes.select("cls", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("__m")).filter("__m > 1").drop("__m")
-    members = stored(members.join(buckets, "band"), "near-members")
+    members = stored(members.join(buckets, "band"), "near-buckets")
     docs = docs.select("doc_id", "text")
     chosen = signed.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     picked = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = picked.mapInArrow(_sets, "cls binary, items array<bigint>").filter("cls is not null").dropDuplicates(["cls"])
+    sets = picked.mapInArrow(_sets, "cls binary, items array<bigint>, key0 bigint, key1 bigint").filter("cls is not null").dropDuplicates(["cls"])
     sets = stored(sets, "near-sets")
-    links, comps, many = None, None, 1
+    members = stored(members.join(_own(sets), "cls"), "near-members")
+    links, comps, many = None, members.select("cls", F.col("cls").alias("comp")).limit(0), 1
     while True:
-        if comps is not None:
-            named = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        else:
-            named = members.withColumn("comp", F.col("cls"))
+        named = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         open_ = named.groupBy("band").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).filter("__lo != __hi").select("band")
-        named = stored(named.join(open_, "band", "left_semi"), "near-open") if comps is not None else named
-        if comps is not None and named.isEmpty():
+        named = stored(named.join(open_, "band", "left_semi"), "near-open")
+        if named.isEmpty():
             return comps
-        leaders = named.groupBy("band", F.pmod(F.hash("cls"), F.lit(many)).alias("__salt")).agg(F.min_by(F.struct("cls", "comp", "n_shingles"), "cls").alias("l"))
-        leaders = leaders.select(F.col("band").alias("__band"), F.col("l.cls").alias("a"), F.col("l.comp").alias("__comp"), F.col("l.n_shingles").alias("__n"))
-        pairs = named.join(leaders, (F.col("band") == F.col("__band")) & (F.col("comp") != F.col("__comp")) & _alike(F.col("n_shingles"), F.col("__n"), percent))
-        pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        # Those go first that share most of what they have: in a group of near copies the rest is linked through them.
+        first = F.min_by(F.struct("cls", "comp", "n", "own"), F.struct("own", "cls")).alias("l")
+        leaders = named.groupBy("band", F.pmod(F.hash("cls"), F.lit(many)).alias("__salt")).agg(first)
+        leaders = leaders.select(F.col("band").alias("__band"), *[F.col(f"l.{c}").alias(f"__{c}") for c in ("cls", "comp", "n", "own")])
+        pairs = named.join(leaders, (F.col("band") == F.col("__band")) & (F.col("comp") != F.col("__comp")) & _possible(F.col("n"), F.col("own"), F.col("__n"), F.col("__own"), percent))
+        pairs = pairs.select(F.least("__cls", "cls").alias("a"), F.greatest("__cls", "cls").alias("b")).distinct()
         found = stored(confirmed(pairs, sets, percent), "near-links")
-        links = found if links is None else links.union(found)
-        comps = components(links.distinct())
-        rest = named.select("band", "cls", "n_shingles").join(leaders.select(F.col("__band").alias("band"), F.col("a").alias("cls")), ["band", "cls"], "left_anti")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comps = components(links)
+        rest = named.select("band", "cls", "n", "own").join(leaders.select(F.col("__band").alias("band"), F.col("__cls").alias("cls")), ["band", "cls"], "left_anti")
         members = stored(rest, "near-rest")
-        many *= 4
+        many *= 8
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
