@@ -1,20 +1,51 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again for the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again for the next.
+
+Toxic documents go, one document of each group of near copies stays, personal
+data is replaced by its kind, sources are mixed to their target weights (a
+document that the mix repeats is as many rows), and texts become ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.llm._store import stored
 from sievework.llm.mixing import mix, repeated
+from sievework.llm.near_dedup import deduplicated
+from sievework.llm.pii import redacted
+from sievework.llm.subword import encoded, load
+from sievework.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, by a model of the labels that aren't held out."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).filter(f"tox_score < {THRESHOLD}").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, 80 % alike in shingles of five words: that with the smallest doc_id."""
+    return deduplicated(docs, 80).select(*COLUMNS)
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind in brackets; n_chars stays that of the original."""
+    return redacted(docs).select(*COLUMNS)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at 5, 2, 1 by name, 150 % of the words that are left, 2 epochs at most; a repetition is a row."""
     return repeated(mix(docs)).select(*COLUMNS)
 
 
-STAGES = [("mix", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids in the place of texts."""
+    return encoded(docs, load())
+
+
+STAGES = [("toxicity", not_toxic), ("minhash", one_of_each), ("pii", without_pii), ("mixing", mixed), ("sentencepiece", tokens)]
 
 #: Learned scores and seeded samples are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -22,8 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, with a table in the shared folder between them."""
-    from sievework.llm._store import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -8,6 +8,7 @@ from .near_dedup import op4_near_duplicates
 from .pii import op5_personal_data
 from .quality import op7_quality
 from .repeats import op10_repeats
+from .subword import op8_sentencepiece
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_personal_data": op5_personal_data,
     "op6_media_columns": op6_media_columns,
     "op7_quality": op7_quality,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_repeats": op10_repeats,
 }
 SQL: dict[str, str] = {}
