@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op3_lm_scoring
 from .media import op6_media_columns
 from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
@@ -14,6 +15,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_personal_data": op5_personal_data,
     "op6_media_columns": op6_media_columns,
