@@ -44,7 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that no later step reads, and let Spark delete the shuffle files of steps that are over."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
+    sweep(tables[0].sparkSession)
 
 
 def sweep(spark: SparkSession) -> None:

@@ -2,9 +2,9 @@
 
 Anchors. In each string of LENGTH bytes, the GRAM bytes with the smallest hash
 (the leftmost of equals) are its anchor, so equal strings have equal anchors at
-equal places, and only about one byte in eighty is an anchor. All strings with
-one anchor lie in its context, at most LENGTH - GRAM bytes before it and LENGTH
-from its start. An anchor whose bytes occur once decides its strings: no
+equal places, and only about one byte in eighty is an anchor. The strings with
+one anchor start in one stretch; from its first to the end of its last string
+is the anchor's context. An anchor whose bytes occur once decides its strings: no
 repeat. Contexts that occur twice are repeats as a whole. What is left are
 anchors in two or more different contexts, as at the ends of passages.
 
@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import stored, sweep
+from ._store import release, stored
 
 LENGTH, GRAM = 200, 24
 #: Contexts with one anchor that go into one block at most, and the bytes of a block.
-GROUP, BLOCK_BYTES = 2048, 1 << 20
+GROUP, BLOCK_BYTES = 8192, 1 << 19
 
 
 def text_keys(prefix: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +52,11 @@ def text_keys(prefix: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return one, T.mix(raw ^ np.uint64(0xA0761D6478BD642F)) + (np.diff(offsets).astype(np.uint64) << np.uint64(7))
 
 
-def anchors(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all texts, and the text of each."""
+def anchors(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of all texts, and the first and the last start of the strings that each is the anchor of."""
     n, width = int(offsets[-1]), length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     at = np.arange(n - gram + 1)
     best = (T.span_hash(prefix, at, at + gram) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     step = 1
@@ -65,10 +65,11 @@ def anchors(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         step *= 2
     if step < width:
         best = np.minimum(best[: len(best) - (width - step)], best[width - step :])
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    valid = np.arange(len(best)) + length <= offsets[1:][text[: len(best)]]
-    found = np.unique((best[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return found, text[found]
+    ends = np.repeat(offsets[1:], np.diff(offsets))[: len(best)]
+    start = np.flatnonzero(np.arange(len(best)) + length <= ends)
+    place = (best[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+    return place[new], start[new], start[np.append(new[1:], len(place)) - 1] if len(place) else start
 
 
 def _anchored(length: int, gram: int):
@@ -78,14 +79,15 @@ def _anchored(length: int, gram: int):
             for i, j, part, at in T.blocks(data, offsets):
                 prefix = T.prefix_hash(part)
                 k0, k1 = text_keys(prefix, at)
-                place, text = anchors(prefix, at, length, gram)
-                low = np.maximum(place - (length - gram), at[:-1][text])
-                high = np.minimum(place, at[1:][text] - length) + length
+                place, low, high = anchors(prefix, at, length, gram)
+                high = high + length
+                text = np.searchsorted(at, place, "right") - 1
                 core = T.span_hash(prefix, place, place + gram)
                 hull = T.mix(T.span_hash(prefix, low, high) + (place - low).astype(np.uint64))
-                each = pa.StructArray.from_arrays([pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array((place - at[:-1][text]).astype(np.int32))], ["h", "c", "pos"])
+                fields = {"h": core.view(np.int64), "c": hull.view(np.int64), "pos": (place - at[:-1][text]).astype(np.int32), "before": (place - low).astype(np.int16), "size": (high - low).astype(np.int16)}
+                each = pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
                 ends = np.searchsorted(text, np.arange(len(at))).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "k0": pa.array(k0.view(np.int64)), "k1": pa.array(k1.view(np.int64)), "n_bytes": pa.array(np.diff(at), pa.int64()), "at": pa.ListArray.from_arrays(pa.array(ends), each)})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "k0": pa.array(k0.view(np.int64)), "k1": pa.array(k1.view(np.int64)), "at": pa.ListArray.from_arrays(pa.array(ends), each)})
 
     return run
 
@@ -97,84 +99,81 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield T.with_columns(batch, {f"k{j}": pa.array(np.concatenate([k[j] for k in keys] + [np.zeros(0, np.uint64)]).view(np.int64)) for j in (0, 1)})
 
 
-def _contexts(length: int, gram: int):
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each place listed for a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("h", "c", "k0", "k1", "pos", "low", "bytes", "whole", "many")}
-            for text, k0, k1, places in zip(*(batch.column(c).to_pylist() for c in ("text", "k0", "k1", "places")), strict=True):
-                raw = text.encode()
-                for p in places:
-                    low = max(0, p["pos"] - (length - gram))
-                    for name, value in (("k0", k0), ("k1", k1), ("low", low), ("bytes", raw[low : min(p["pos"], len(raw) - length) + length]), *((x, p[x]) for x in ("h", "c", "pos", "whole", "many"))):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(out["h"], pa.int64()), "c": pa.array(out["c"], pa.int64()), "k0": pa.array(out["k0"], pa.int64()), "k1": pa.array(out["k1"], pa.int64()), "pos": pa.array(out["pos"], pa.int32()), "low": pa.array(out["low"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary()), "whole": pa.array(out["whole"], pa.bool_()), "many": pa.array(out["many"], pa.int64())})
-
-    return run
-
-
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c in ("h", "c", "k0", "k1", "pos", "before", "bytes", "whole", "many")}
+        for text, k0, k1, places in zip(*(batch.column(c).to_pylist() for c in ("text", "k0", "k1", "places")), strict=True):
+            raw = text.encode()
+            for p in places:
+                low = p["pos"] - p["before"]
+                for name, value in (("k0", k0), ("k1", k1), ("bytes", raw[low : low + p["size"]]), *((x, p[x]) for x in ("h", "c", "pos", "before", "whole", "many"))):
+                    out[name].append(value)
+        kinds = {"pos": pa.int32(), "before": pa.int16(), "bytes": pa.binary(), "whole": pa.bool_()}
+        yield pa.RecordBatch.from_pydict({c: pa.array(x, kinds.get(c, pa.int64())) for c, x in out.items()})
+
+
+def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first depth symbols at least, and each one's place, by doubling.
 
-    symbols are below 2 ** 21; three are one key of the first round.
+    symbols are from 0 to 256; a 0 ends a context, left[i] symbols after i.
+    What follows a 0 is not compared, so equal ends stand in any order.
     """
-    n = len(symbols)
-    pad = np.concatenate([symbols + 1, np.zeros(2, symbols.dtype)]).astype(np.int64)
-    key = (pad[:-2] << 42) | (pad[1:-1] << 21) | pad[2:]
-    rank, reach = np.zeros(n, np.int64), 3
+    n, reach = len(symbols), 7
+    key = np.zeros(n, np.int64)
+    for k in range(reach):
+        key[: n - k] |= np.where(left[: n - k] > k, symbols[k:], 0) << (9 * (reach - 1 - k))
+    rank = np.zeros(n + 1, np.int64)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        new = np.ones(n, bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        new = np.append(True, ordered[1:] != ordered[:-1])
         rank[order] = np.cumsum(new)
         if reach >= depth or new.all():
             break
-        later = np.zeros(n, np.int64)
-        later[:-reach] = rank[reach:]
-        key = rank * (n + 2) + later
+        ahead = np.minimum(np.arange(n) + reach, n)
+        key = rank[:n] * (n + 2) + np.where(left > reach, rank[ahead], 0)
         reach *= 2
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, place
 
 
-def boundaries(symbols: np.ndarray, order: np.ndarray, place: np.ndarray, first_real: int, length: int) -> np.ndarray:
+def boundaries(symbols: np.ndarray, order: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """For each place in the order, whether its suffix shares fewer than length symbols with the one before.
 
     Breadth-first backward extension: a queue holds intervals of suffixes that
     begin with one string of d symbols; extended to the left by a symbol, an
     interval becomes another, whose right end, if it is new, is a boundary of
-    value d. Symbols below first_real end a context and extend nothing.
+    value d. A 0 ends a context and extends nothing.
     """
     n = len(order)
-    before = symbols[order - 1]  # the transform; the first suffix has the last symbol, which ends a context
-    real = before >= first_real
-    back = place[order - 1]
+    head, before = symbols[order], symbols[order - 1]  # before: the transform
+    real, back = before > 0, place[order - 1]
     cut = np.zeros(n + 1, bool)
     cut[0] = cut[n] = True
-    cut[: np.searchsorted(symbols[order], first_real) + 1] = True
-    owner = np.full(n, -1, np.int64)
-    head = symbols[order]
+    cut[: np.count_nonzero(symbols == 0) + 1] = True
+    owner, touched = np.full(n, -1, np.int32), np.zeros(n, bool)
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(low):
             break
         sizes = high - low
-        which = np.repeat(np.arange(len(low)), sizes)
+        which = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
         k = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(which))
         keep = real[k]
         k, which = back[k[keep]], which[keep]
         owner[k] = which
-        touched = np.zeros(n, bool)
-        touched[k] = True
-        k = np.flatnonzero(touched)
+        if len(k) * 8 > n:
+            touched[:] = False
+            touched[k] = True
+            k = np.flatnonzero(touched)
+        else:
+            k = np.sort(k)
         if not len(k):
             break
-        starts = np.ones(len(k), bool)
-        starts[1:] = (k[1:] != k[:-1] + 1) | (owner[k[1:]] != owner[k[:-1]]) | (head[k[1:]] != head[k[:-1]])
-        first = np.flatnonzero(starts)
+        mine, first_symbol = owner[k], head[k]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1] + 1) | (mine[1:] != mine[:-1]) | (first_symbol[1:] != first_symbol[:-1])))
         low, high = k[first], k[np.append(first[1:], len(k)) - 1] + 1
         new = ~cut[high]
         cut[high[new]] = True
@@ -182,22 +181,19 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, place: np.ndarray, first_
     return cut[:n]
 
 
-def repeated_starts(contexts: list[bytes], group: np.ndarray, before: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+def repeated_starts(contexts: list[bytes], group: np.ndarray, before: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context the starts of its strings of length bytes that another context of its group has at the same distance from the anchor."""
     m = len(contexts)
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes + 1) - 1
-    symbols = np.zeros(int(ends[-1]) + 1, np.int64)
-    real = np.ones(len(symbols), bool)
-    real[ends] = False
-    symbols[real] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + m
-    symbols[ends] = np.arange(m)
-    order, place = suffix_order(symbols, length)
-    same = np.cumsum(boundaries(symbols, order, place, m, length))
+    symbols = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols[ends] = 0
     owner = np.repeat(np.arange(m), sizes + 1)
-    start = np.arange(len(symbols)) - np.repeat(ends - sizes, sizes + 1)
-    fits = (start + length <= sizes[owner]) & (start <= before[owner]) & (start + length >= before[owner] + gram)
-    at = order[fits[order]]
+    left = ends[owner] - np.arange(len(symbols))
+    order, place = suffix_order(symbols, left, length)
+    same = np.cumsum(boundaries(symbols, order, place, length))
+    start = sizes[owner] - left
+    at = order[(left >= length)[order]]
     run = same[place[at]]
     key = np.stack([run, group[owner[at]], before[owner[at]] - start[at]])
     by = np.lexsort(key)
@@ -221,18 +217,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _expanded(length: int, gram: int):
+def _expanded(length: int):
     def run(table: pa.Table) -> pa.Table:
         rows = {}
         for r in table.to_pylist():  # copies of one context count once
             rows.setdefault((r["h"], r["c"]), r)
         rows = [rows[k] for k in sorted(rows)]
         out: dict[str, list] = {c: [] for c in ("k0", "k1", "low", "high")}
-        found = repeated_starts([r["bytes"] for r in rows], np.unique([r["h"] for r in rows], return_inverse=True)[1], np.array([r["pos"] - r["low"] for r in rows]), length, gram)
+        found = repeated_starts([r["bytes"] for r in rows], np.unique([r["h"] for r in rows], return_inverse=True)[1], np.array([r["before"] for r in rows]), length)
         for r, starts in zip(rows, found, strict=True):
-            if not r["whole"]:
-                for s, e in merged([(int(x), int(x) + length) for x in starts]):
-                    for name, value in (("k0", r["k0"]), ("k1", r["k1"]), ("low", r["low"] + s), ("high", r["low"] + e)):
+            if not r["whole"] and len(starts):
+                low = r["pos"] - r["before"]
+                cut = np.flatnonzero(np.diff(starts) > length)
+                for s, e in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True):
+                    for name, value in (("k0", r["k0"]), ("k1", r["k1"]), ("low", low + int(s)), ("high", low + int(e) + length)):
                         out[name].append(value)
         return pa.table({"k0": pa.array(out["k0"], pa.int64()), "k1": pa.array(out["k1"], pa.int64()), "low": pa.array(out["low"], pa.int32()), "high": pa.array(out["high"], pa.int32())})
 
@@ -249,8 +247,7 @@ def _ranged(length: int):
                 continue
             prefix = T.prefix_hash(data[offsets[0] : offsets[-1]])
             base, size = offsets[:-1] - offsets[0], np.diff(offsets)
-            before = batch.column("pos").to_numpy() - batch.column("low").to_numpy()
-            a, b = (batch.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
+            before, a, b = (batch.column(c).to_numpy().astype(np.int64) for c in ("before", "a", "b"))
             # The core of a range is in every context that holds one of its strings; the hull may go beyond it.
             least = before + length - size
             ok, inside = (a <= before) & (b >= least), (b <= before) & (a >= least)
@@ -264,24 +261,24 @@ def _ranged(length: int):
 
 def halved(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """(k0, k1, low, high) of what is repeated in contexts that aren't whole, for groups of any size."""
-    contexts = contexts.dropDuplicates(["h", "c"])
-    keys = ["h", "c", "k0", "k1", "pos", "low", "whole"]
-    contexts = stored(contexts.select(*keys, "bytes"), "repeat-large")
+    keys = ["h", "c", "k0", "k1", "pos", "before", "whole"]
+    contexts = stored(contexts.dropDuplicates(["h", "c"]).select(*keys, "bytes"), "repeat-large")
     todo = contexts.select(*keys, F.lit(0).alias("a"), F.lit(length - gram).alias("b"))
     out = None
     while True:
         rows = contexts.select("h", "c", "bytes").join(todo, ["h", "c"])
         rows = stored(rows.mapInArrow(_ranged(length), T.schema_of([f for f in rows.schema if f.name != "bytes"], "core bigint", "hull bigint", "ok boolean")).filter("ok").drop("ok"), "repeat-ranges")
-        cores = rows.groupBy("h", "core").agg(F.count(F.lit(1)).alias("cores"))
-        hulls = rows.groupBy("h", "hull").agg(F.count(F.lit(1)).alias("hulls"))
-        rows = stored(rows.join(cores.filter("cores > 1"), ["h", "core"]).join(hulls, ["h", "hull"], "left").withColumn("hulls", F.when(F.col("hull").isNull(), 1).otherwise(F.col("hulls"))), "repeat-judged")
-        sure = rows.filter("hulls > 1 and not whole").select("k0", "k1", (F.col("pos") - F.col("b")).cast("int").alias("low"), (F.col("pos") - F.col("a") + length).cast("int").alias("high"))
-        out = sure if out is None else out.union(sure)
+        cores = rows.groupBy("h", "core").agg(F.count(F.lit(1)).alias("cores")).filter("cores > 1")
+        hulls = rows.filter("hull is not null").groupBy("h", "hull").agg(F.count(F.lit(1)).alias("hulls"))
+        judged = stored(rows.join(cores, ["h", "core"]).join(hulls, ["h", "hull"], "left").withColumn("hulls", F.coalesce("hulls", F.lit(1))), "repeat-judged")
+        sure = judged.filter("hulls > 1 and not whole").select("k0", "k1", (F.col("pos") - F.col("b")).cast("int").alias("low"), (F.col("pos") - F.col("a") + length).cast("int").alias("high"))
+        out = stored(sure if out is None else out.union(sure), "repeat-sure")
         # A range stays in play for all that share its core, decided ones too: others may need them in a half.
-        rest = rows.join(rows.filter("hulls = 1 and not whole").select("h", "core").distinct(), ["h", "core"], "left_semi").filter("a < b")
+        rest = judged.join(judged.filter("hulls = 1 and not whole").select("h", "core").distinct(), ["h", "core"], "left_semi").filter("a < b")
         middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))).alias("x")
-        todo = rest.select(*keys, halves).select(*keys, "x.a", "x.b")
+        todo = stored(rest.select(*keys, halves).select(*keys, "x.a", "x.b"), "repeat-todo")
+        release(rows, judged)
         if todo.isEmpty():
             return out
 
@@ -301,34 +298,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     """(k0, k1, spans): for each text that repeats anything, by its hash, the ranges of bytes, which may overlap."""
     docs = docs.select("doc_id", "text").filter("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(docs.mapInArrow(_anchored(length, gram), f"doc_id {kind}, k0 bigint, k1 bigint, n_bytes bigint, at array<struct<h:bigint,c:bigint,pos:int>>"), "repeat-rows")
+    rows = stored(docs.mapInArrow(_anchored(length, gram), f"doc_id {kind}, k0 bigint, k1 bigint, at array<struct<h:bigint,c:bigint,pos:int,before:smallint,size:smallint>>"), "repeat-rows")
     # From here on a text stands for all its copies.
-    texts = rows.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"), F.first("n_bytes").alias("n_bytes"), F.first("at").alias("at"))
-    texts = stored(texts, "repeat-texts")
-    each = texts.select("k0", "k1", "copies", "n_bytes", F.inline("at"))
+    texts = stored(rows.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"), F.first("at").alias("at")), "repeat-texts")
+    release(rows)
+    each = texts.select("k0", "k1", "copies", F.inline("at"))
     by_context = each.groupBy("h", "c").agg(F.sum("copies").alias("m"))
     by_anchor = by_context.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.sum("m").alias("total")).filter("total > 1").drop("total")
     known = stored(by_context.join(by_anchor, "h").select("h", "c", (F.col("m") > 1).alias("whole"), "many"), "repeat-known")
     marked = stored(each.drop("copies").join(known, ["h", "c"]), "repeat-marked")
-    sweep(docs.sparkSession)
-    low = F.greatest(F.lit(0), F.col("pos") - (length - gram))
-    high = F.least(F.col("pos"), F.col("n_bytes") - length) + length
-    spans = marked.filter("whole").select("k0", "k1", low.cast("int").alias("low"), high.cast("int").alias("high"))
+    ones = stored(texts.select("k0", "k1", "one"), "repeat-ones")
+    release(texts, known)
+    low = (F.col("pos") - F.col("before")).cast("int")
+    spans = stored(marked.filter("whole").select("k0", "k1", low.alias("low"), (low + F.col("size")).cast("int").alias("high")), "repeat-whole")
     open_ = marked.filter("many > 1")
     open_ = open_.filter("not whole").unionByName(open_.filter("whole").dropDuplicates(["h", "c"]))
-    places = open_.groupBy("k0", "k1").agg(F.collect_list(F.struct("pos", "h", "c", "whole", "many")).alias("places")).join(texts.select("k0", "k1", "one"), ["k0", "k1"])
+    places = open_.groupBy("k0", "k1").agg(F.collect_list(F.struct("pos", "before", "size", "h", "c", "whole", "many")).alias("places")).join(ones, ["k0", "k1"])
     places = places.select(F.col("k0").alias("__0"), F.col("k1").alias("__1"), "one", "places")
     named = docs.mapInArrow(_with_keys, T.schema_of(docs.schema, "k0 bigint", "k1 bigint"))
     found = named.join(places, (F.col("k0") == F.col("__0")) & (F.col("k1") == F.col("__1")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    found = found.select("text", "k0", "k1", "places").mapInArrow(_contexts(length, gram), "h bigint, c bigint, k0 bigint, k1 bigint, pos int, low int, bytes binary, whole boolean, many bigint")
+    found = found.select("text", "k0", "k1", "places").mapInArrow(_contexts, "h bigint, c bigint, k0 bigint, k1 bigint, pos int, before smallint, bytes binary, whole boolean, many bigint")
     contexts = stored(found, "repeat-contexts")
-    sweep(docs.sparkSession)
+    release(marked, ones)
     small, large = contexts.filter(F.col("many") <= group), contexts.filter(F.col("many") > group)
-    blocks = max(1, small.count() * (2 * length - gram) // BLOCK_BYTES)
-    small = small.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).groupBy("block").applyInArrow(_expanded(length, gram), "k0 bigint, k1 bigint, low int, high int")
+    blocks = max(1, small.count() * 3 * length // 2 // BLOCK_BYTES)
+    small = small.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).groupBy("block").applyInArrow(_expanded(length), "k0 bigint, k1 bigint, low int, high int")
     spans = spans.union(stored(small, "repeat-spans"))
     if not large.isEmpty():
         spans = spans.union(halved(large, length, gram))
+    release(contexts)
     return spans.groupBy("k0", "k1").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
@@ -353,7 +351,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     an empty table gives an empty one; other columns of docs play no part.
     """
     spans = stored(repeated_spans(docs, length, gram, group).select(F.col("k0").alias("__0"), F.col("k1").alias("__1"), "spans"), "repeat-found")
-    sweep(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     named = docs.mapInArrow(_with_keys, T.schema_of(docs.schema, "k0 bigint", "k1 bigint"))
     rows = named.join(spans, (F.col("k0") == F.col("__0")) & (F.col("k1") == F.col("__1")), "left")
