@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ._store import stored, sweep
 
-K, GROUP, SAMPLE, ROUNDS = 24, 48, 12, 4
-EF, STEP = 48, 24
+K, GROUP, SAMPLE, ROUNDS = 32, 64, 24, 8
+EF, STEP = 256, 64
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -180,7 +180,8 @@ def search(units: DataFrame, graph: DataFrame, queries: DataFrame, ef: int = EF,
         todo = stored(rows.filter(F.col("at") < step).select("id", (-F.col("x.minus")).alias("node")), "near-todo")
         if todo.isEmpty():
             return _edges(state).select("id", "other")
-        pairs = todo.join(links, "node").select("id", F.explode("links").alias("other")).filter("id != other").distinct().join(asked, "id")
+        pairs = todo.join(links, "node").select("id", F.explode("links").alias("other")).filter("id != other").distinct()
+        pairs = pairs.join(_edges(state), ["id", "other"], "left_anti").join(asked, "id")
         known = _edges(state).join(todo.withColumnRenamed("node", "other").withColumn("__done", F.lit(True)), ["id", "other"], "left")
         known = known.select("id", "other", "sim", (F.col("new") & F.col("__done").isNull()).alias("new"))
         state = best(known.union(scored(pairs)))

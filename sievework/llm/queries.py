@@ -6,6 +6,7 @@ from .lm_scoring import op3_lm_scoring
 from .media import op6_media_columns
 from .mixing import op1_mix_sources
 from .near_dedup import op4_near_duplicates
+from .neighbours import op9_nearest_neighbours
 from .pii import op5_personal_data
 from .quality import op7_quality
 from .repeats import op10_repeats
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_repeats": op10_repeats,
 }
 SQL: dict[str, str] = {}
