@@ -41,7 +41,7 @@ from ._store import release, stored
 
 LENGTH, GRAM = 200, 24
 #: Contexts with one anchor that go into one block at most, and the bytes of a block.
-GROUP, BLOCK_BYTES = 8192, 1 << 19
+GROUP, BLOCK_BYTES = 3072, 1 << 19
 
 
 def text_keys(prefix: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
