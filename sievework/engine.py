@@ -102,7 +102,11 @@ class Pipeline:
             enriched = F.map_concat(enriched, rest, marker)
         reasons = _reasons(state)
         if other is not None:
-            enriched = F.when(state.error.isNotNull(), _entries(other)).otherwise(enriched)
+            caught = _entries(other)
+            if other.copied is not False:
+                rest = F.transform_values(F.map_filter("__input", lambda k, _: ~F.map_contains_key(caught, k)), lambda _, v: F.coalesce(v, F.lit("")))
+                caught = F.when(as_column(other.copied), F.map_concat(caught, rest)).otherwise(caught)
+            enriched = F.when(state.error.isNotNull(), caught).otherwise(enriched)
             reasons = F.when(state.error.isNotNull(), _reasons(other)).otherwise(reasons)
         out = state.df.select(enriched.alias("enriched"), reasons.alias("reasons"))
         return out.filter(F.size("enriched") > 0)
@@ -124,8 +128,8 @@ class Pipeline:
                 done = either(False if s is None else s.there, state.copied)
                 copied.append((name, F.when(~as_column(done), F.lit(name))))
             if other is not None:
-                o = other.enriched.get(name)
-                value = F.when(state.error.isNotNull(), F.lit(None).cast("string") if o is None else F.when(as_column(o.there), o.value)).otherwise(value)
+                o = other.enriched.get(name) or other.unnamed(name)
+                value = F.when(state.error.isNotNull(), F.when(as_column(o.there), o.value)).otherwise(value)
             out.append(value.alias(name))
         if marker:
             listed = F.concat_ws(",", *[c for _, c in sorted(copied, key=lambda x: x[0])])

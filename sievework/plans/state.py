@@ -114,7 +114,7 @@ class State:
         if s.location == A.INPUT:
             return self.records.slot(s.name)
         if s.location == A.ENRICHED:
-            return self.enriched.get(s.name) or self._unnamed(s.name)
+            return self.enriched.get(s.name) or self.unnamed(s.name)
         if s.location == A.SCRATCHPAD:
             return self.scratch.get(s.name) or absent()
         first, second = self.slot(Source(A.ENRICHED, s.name)), self.records.slot(s.name)
@@ -122,7 +122,7 @@ class State:
             return second
         return Slot(either(first.there, second.there), pick(first.there, first.value, second.value))
 
-    def _unnamed(self, name: str) -> Slot:
+    def unnamed(self, name: str) -> Slot:
         """A field of enriched that no action names: there if all were copied."""
         if self.copied is False:
             return absent()
