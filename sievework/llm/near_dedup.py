@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import stored
+from ._store import release, stored
 from .components import components
 
 SHINGLE = 5
@@ -171,25 +171,39 @@ def linked(docs: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
     sets = picked.mapInArrow(_sets, "cls binary, items array<bigint>, key0 bigint, key1 bigint").filter("cls is not null").dropDuplicates(["cls"])
     sets = stored(sets, "near-sets")
     members = stored(members.join(_own(sets), "cls"), "near-members")
-    links, comps, many = None, members.select("cls", F.col("cls").alias("comp")).limit(0), 1
+    links, shapes, comps, many = None, None, members.select("cls", F.col("cls").alias("comp")).limit(0), 1
     while True:
         named = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         open_ = named.groupBy("band").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).filter("__lo != __hi").select("band")
         named = stored(named.join(open_, "band", "left_semi"), "near-open")
+        release(members)
         if named.isEmpty():
             return comps
+        kept = ["cls", "comp", "n", "own"]
+        if many > 1:
+            # What two sets have in one bucket they often have in many; only the first of these pairs them.
+            shapes = shapes or stored(signed.join(named.select("cls").distinct(), "cls").select("cls", "bands").dropDuplicates(["cls"]), "near-shapes")
+            kept.append("bands")
         # Those go first that share most of what they have: in a group of near copies the rest is linked through them.
-        first = F.min_by(F.struct("cls", "comp", "n", "own"), F.struct("own", "cls")).alias("l")
-        leaders = named.groupBy("band", F.pmod(F.hash("cls"), F.lit(many)).alias("__salt")).agg(first)
-        leaders = leaders.select(F.col("band").alias("__band"), *[F.col(f"l.{c}").alias(f"__{c}") for c in ("cls", "comp", "n", "own")])
-        pairs = named.join(leaders, (F.col("band") == F.col("__band")) & (F.col("comp") != F.col("__comp")) & _possible(F.col("n"), F.col("own"), F.col("__n"), F.col("__own"), percent))
-        pairs = pairs.select(F.least("__cls", "cls").alias("a"), F.greatest("__cls", "cls").alias("b")).distinct()
+        first = F.min_by("cls", F.struct("own", "cls")).alias("cls")
+        led = named.groupBy("band", F.pmod(F.hash("cls"), F.lit(many)).alias("__salt")).agg(first).select("band", "cls", F.lit(True).alias("led"))
+        marked = named.join(led, ["band", "cls"], "left").withColumn("led", F.coalesce("led", F.lit(False)))
+        marked = stored(marked.join(shapes, "cls") if many > 1 else marked, "near-marked")
+        release(named)
+        leaders = marked.filter("led").select(F.col("band").alias("__band"), *[F.col(c).alias(f"__{c}") for c in kept])
+        meet = (F.col("band") == F.col("__band")) & (F.col("comp") != F.col("__comp")) & _possible(F.col("n"), F.col("own"), F.col("__n"), F.col("__own"), percent)
+        # Of two leaders of a bucket, one meets the other.
+        meet &= ~F.col("led") | (F.col("__cls") < F.col("cls"))
+        if many > 1:
+            shared = F.array_position(F.zip_with("bands", "__bands", lambda x, y: x == y), True)
+            meet &= F.element_at("bands", shared.cast("int")) == F.col("band")
+        pairs = marked.join(leaders, meet).select(F.least("__cls", "cls").alias("a"), F.greatest("__cls", "cls").alias("b")).distinct()
         found = stored(confirmed(pairs, sets, percent), "near-links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             comps = components(links)
-        rest = named.select("band", "cls", "n", "own").join(leaders.select(F.col("__band").alias("band"), F.col("__cls").alias("cls")), ["band", "cls"], "left_anti")
-        members = stored(rest, "near-rest")
+        members = stored(marked.filter("not led").select("band", "cls", "n", "own"), "near-rest")
+        release(marked)
         many *= 8
 
 
