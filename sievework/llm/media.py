@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import new_folder, stored
+from ._store import new_folder, release, stored
 
 LINE, SHARD, HEADER = 576, 64 << 20, 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -49,7 +49,7 @@ def encoded(raw: bytes) -> bytes:
     """A grey 8-bit PNG with LINE samples a line and no filter."""
     lines = np.frombuffer(raw, np.uint8).reshape(-1, LINE)
     body = np.concatenate([np.zeros((len(lines), 1), np.uint8), lines], 1).tobytes()
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", LINE, len(lines), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(body, 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", LINE, len(lines), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(body, 6)) + _chunk(b"IEND", b"")
 
 
 def header(start: bytes) -> tuple[int, int, int]:
@@ -89,19 +89,19 @@ class ShardWriter:
 
     def __init__(self, folder: str) -> None:
         self.fs, self.path = fs.FileSystem.from_uri(folder)
-        self.uri, self.out, self.seen = folder, None, {}
+        self.out, self.seen = None, {}
 
     def add(self, digest: str, raw: bytes) -> tuple[str, int, int]:
         if digest not in self.seen:
             if self.out is None:
                 self.fs.create_dir(self.path, recursive=True)
-                self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
+                self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
                 self.out = self.fs.open_output_stream(f"{self.path}/{self.name}")
             media = encoded(raw)
             info = tarfile.TarInfo(f"{digest}.png")
             info.size = len(media)
             self.out.write(info.tobuf(tarfile.USTAR_FORMAT) + media + b"\0" * (-len(media) % 512))
-            self.seen[digest] = f"{self.uri}/{self.name}", self.at + 512, len(media)
+            self.seen[digest] = self.name, self.at + 512, len(media)
             self.at += 512 + len(media) + -len(media) % 512
             if self.at >= SHARD:
                 self.close()
@@ -131,8 +131,8 @@ def _writing(folder: str):
     return run
 
 
-def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """docs without text, and with n_bytes, digest, shard, offset, length of its payload in folder.
+def store_media(docs: DataFrame, folder: str) -> DataFrame:
+    """docs without text, and with n_bytes, digest, shard (a file in folder), offset, length of its payload.
 
     Defined cases: a null text is empty; an empty one is a payload of one line;
     equal texts point to the same bytes; columns of docs by these names are
@@ -140,23 +140,23 @@ def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     made = ("n_bytes", "digest", "shard", "offset", "length")
     docs = docs.drop(*made)
-    folder = folder or new_folder(docs.sparkSession, "media")
     rest = [f for f in docs.schema if f.name != "text"]
     refs = stored(docs.mapInArrow(_writing(folder), T.schema_of(rest, "n_bytes bigint", "digest string", "shard string", "offset bigint", "length bigint")), "media-refs")
     one = refs.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("__at")).withColumnRenamed("digest", "__digest")
     whole = refs.drop("shard", "offset", "length").join(one, F.col("digest") == F.col("__digest"))
-    return whole.select(*[f.name for f in rest], "n_bytes", "digest", "__at.shard", "__at.offset", "__at.length")
+    whole = stored(whole.select(*[f.name for f in rest], "n_bytes", "digest", "__at.shard", "__at.offset", "__at.length"), "media-rows")
+    release(refs)
+    return whole
 
 
-def _ranges(batch: pa.RecordBatch, size: int | None) -> Iterator[bytes]:
+def _ranges(folder: str, batch: pa.RecordBatch, size: int | None) -> Iterator[bytes]:
     """The first size bytes of each row's member, or all of it."""
-    name, file = None, None
+    (where, path), name, file = fs.FileSystem.from_uri(folder), None, None
     for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
         if shard != name:
             if file is not None:
                 file.close()
-            where, path = fs.FileSystem.from_uri(shard)
-            name, file = shard, where.open_input_file(path)
+            name, file = shard, where.open_input_file(f"{path}/{shard}")
         yield file.read_at(min(length, size or length), offset)
     if file is not None:
         file.close()
@@ -167,12 +167,12 @@ def _members(refs: DataFrame) -> DataFrame:
     return refs.select("digest", "shard", "offset", "length").distinct().repartitionByRange(F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
 
 
-def with_headers(refs: DataFrame) -> DataFrame:
+def with_headers(refs: DataFrame, folder: str) -> DataFrame:
     """refs with width, height and bits of its media, from reads of HEADER bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*(header(x) for x in _ranges(batch, HEADER)), strict=True)) or [()] * 3
+            found = list(zip(*(header(x) for x in _ranges(folder, batch, HEADER)), strict=True)) or [()] * 3
             yield pa.RecordBatch.from_pydict({"__digest": batch.column("digest")} | {c: pa.array(x, pa.int32()) for c, x in zip(("width", "height", "bits"), found, strict=True)})
 
     refs = refs.drop("width", "height", "bits")
@@ -180,33 +180,38 @@ def with_headers(refs: DataFrame) -> DataFrame:
     return refs.join(seen, F.col("digest") == F.col("__digest")).drop("__digest")
 
 
-def read_media(refs: DataFrame) -> DataFrame:
+def read_media(refs: DataFrame, folder: str) -> DataFrame:
     """(digest, payload, media): each payload of refs once, read back from its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, media in enumerate(_ranges(batch, None)):
+            for i, media in enumerate(_ranges(folder, batch, None)):
                 yield pa.RecordBatch.from_pydict({"digest": batch.column("digest").slice(i, 1), "payload": pa.array([decoded(media)], pa.binary()), "media": pa.array([media], pa.binary())})
 
     return _members(refs).mapInArrow(run, "digest string, payload binary, media binary")
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for i, media in enumerate(_ranges(batch, None)):
-            raw = decoded(media)
-            if hashlib.sha256(raw).hexdigest() != batch.column("digest")[i].as_py():
-                raise ValueError("a payload differs from its digest")
-            rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
-        yield pa.RecordBatch.from_pydict({"__digest": batch.column("digest")} | {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
+def _digested(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for digest, media in zip(batch.column("digest").to_pylist(), _ranges(folder, batch, None), strict=True):
+                raw = decoded(media)
+                if hashlib.sha256(raw).hexdigest() != digest:
+                    raise ValueError("a payload differs from its digest")
+                rows.append((len(raw), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+            yield pa.RecordBatch.from_pydict({"__digest": batch.column("digest")} | {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
+
+    return run
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     """Every text as a picture in a tar shard, read back: digests and features of what was stored."""
-    refs = stored(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "media-rows")
-    found = _members(refs).mapInArrow(_digested, "__digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    rows = with_headers(refs).join(stored(found, "media-digests"), F.col("digest") == F.col("__digest"))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
+    folder = new_folder(spark, "media")
+    refs = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
+    found = _members(refs).mapInArrow(_digested(folder), "__digest string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    rows = with_headers(refs, folder).join(found, F.col("digest") == F.col("__digest"))
+    # The digest is that of the bytes read back: any other is an error there.
+    return rows.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
