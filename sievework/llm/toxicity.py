@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +35,9 @@ from ._labels import held_out, training
 
 FIT_EACH = 3000
 #: Terms in a lexicon at most, the likelihood ratio and log odds ratio that a term needs, and lengths of beginnings of words.
-MAX_TERMS, RATIO, ODDS, STEMS = 400, 20.0, 5.0, (4, 5, 6)
+MAX_TERMS, RATIO, ODDS, STEMS = 400, 20.0, 5.0, (4, 5, 6, 7, 8)
+#: Words with one beginning that make it count where a single one is too common in clean texts.
+REPEATS = 3
 THRESHOLD = 0.3
 #: What a document without any event scores before rows have been learned from, and weights of the five ways.
 PRIOR = (-3.0, np.array([2.0, 2.5, 0.6, 0.8, 2.5]))
@@ -108,41 +111,51 @@ BACKWARD = Composed((TARGET,))
 
 
 class Lexicon:
-    """Insults with weights: whole words, and beginnings of words."""
+    """Insults with weights: whole words, beginnings of words, and beginnings that count from the REPEATS-th word with them on."""
 
-    def __init__(self, whole: dict[str, float], stems: dict[str, float]) -> None:
-        self.whole, self.stems = whole, stems
+    def __init__(self, whole: dict[str, float], stems: dict[str, float], repeated: dict[str, float] | None = None) -> None:
+        self.whole, self.stems, self.repeated = whole, stems, repeated or {}
         self.lengths = sorted({len(s) for s in stems})
         self._finder = None
 
     def __getstate__(self):
-        return {"whole": self.whole, "stems": self.stems, "lengths": self.lengths, "_finder": None}
+        return self.__dict__ | {"_finder": None}
 
-    def weight(self, word: str) -> float:
-        return max([self.whole.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths)])
+    def weight(self, word: str, active: dict[str, float]) -> float:
+        found = [self.whole.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths)]
+        return max(found + [x for s, x in active.items() if word.startswith(s)])
 
-    def touches(self, text: str) -> bool:
-        """Whether a term or a harm verb is anywhere in a text, by one automaton; most texts end here."""
+    def touched(self, text: str) -> tuple[bool, dict[str, float]]:
+        """Whether a term is anywhere in a text, and which repeated ones count, by one automaton; most texts end here."""
         if self._finder is None:
             self._finder = ahocorasick.Automaton()
-            for term in (*self.whole, *self.stems, *HARM):
-                self._finder.add_word(term, 1)
+            for term in {*self.whole, *self.stems, *self.repeated, *HARM}:
+                self._finder.add_word(term, term)
             self._finder.make_automaton()
-        return next(self._finder.iter(text), None) is not None
+        some, counts = False, dict.fromkeys(self.repeated, 0)
+        for end, term in self._finder.iter(text):
+            if term in counts:
+                start = end - len(term)
+                counts[term] += start < 0 or not text[start].isalnum()
+            if term not in counts or term in self.whole or term in self.stems:
+                some = True
+        active = {t: self.repeated[t] for t, n in counts.items() if n >= REPEATS}
+        return some or bool(active), active
 
 
 def events(text: str, lexicon: Lexicon) -> np.ndarray:
     """The summed weights of a text's events by WAYS."""
     out = np.zeros(len(WAYS))
     low = text.lower()
-    if not lexicon.touches(low):
+    some, active = lexicon.touched(low)
+    if not some:
         return out
     for clause in _CLAUSE.split(low):
-        if not clause or not lexicon.touches(clause):
-            continue
         found = _SYMBOL.findall(clause)
-        weights = [lexicon.weight(w) for w in found]
+        weights = [lexicon.weight(w, active) for w in found]
         symbols = ["insult" if x else _CLASSES.get(w, "quote" if not w[0].isalnum() and w[0] != "_" else "*") for w, x in zip(found, weights, strict=True)]
+        if "insult" not in symbols and "harm" not in symbols:
+            continue
         behind = list(BACKWARD.run(reversed(symbols)))[::-1]
         for x, (insult, negated, target, reported, threat), (ahead,) in zip(weights, FORWARD.run(symbols), behind, strict=True):
             if insult:
@@ -168,8 +181,13 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms, marks = [], []
         for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            words = {w for w in _SYMBOL.findall((text or "").lower()) if len(w) > 2}
-            mine = {""} | {"=" + w for w in words} | {"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+            each = Counter(w for w in _SYMBOL.findall((text or "").lower()) if len(w) > 2)
+            often: Counter[str] = Counter()
+            for w, k in each.items():
+                for n in STEMS:
+                    if len(w) > n:
+                        often[w[:n]] += k
+            mine = {""} | {"=" + w for w in each} | {"^" + p for p in often} | {"*" + p for p, k in often.items() if k >= REPEATS}
             terms += mine
             marks += [y] * len(mine)
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "label": pa.array(marks, pa.int32())})
@@ -194,12 +212,13 @@ def grown(lexicon: Lexicon, counts: Iterable[tuple[str, int, int]], n: int, m: i
         x = math.log((a + 0.5) / (n - a + 0.5)) - math.log((b + 0.5) / (m - b + 0.5))
         if _ratio(a, n, b, m) >= RATIO and (x >= ODDS or not b and a >= 0.1 * n):
             good.append((x, term))
-    whole, stems = dict(lexicon.whole), dict(lexicon.stems)
-    for x, term in sorted(good, key=lambda g: (len(g[1]), g[1])):
-        word = term[1:]
-        if not any(word.startswith(s) for s in stems):
-            (whole if term[0] == "=" else stems)[word] = min(8.0, max(x, whole.get(word, 0.0)))
-    return Lexicon(whole, stems)
+    tables = {"=": dict(lexicon.whole), "^": dict(lexicon.stems), "*": dict(lexicon.repeated)}
+    # Single words last: most are explained by a beginning that they share with others.
+    for x, term in sorted(good, key=lambda g: ("^*=".index(g[1][0]), len(g[1]), g[1])):
+        word, covers = term[1:], tables["^"] if term[0] == "^" else tables["^"] | tables["*"]
+        if not any(word.startswith(s) for s in covers):
+            tables[term[0]][word] = min(8.0, max(x, tables["="].get(word, 0.0)))
+    return Lexicon(tables["="], tables["^"], tables["*"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 400) -> tuple[float, np.ndarray]:
