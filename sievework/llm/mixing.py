@@ -83,7 +83,7 @@ def _plan(sized: DataFrame, weights, budget_ratio: float, max_epochs: float) ->
     sums = dealt.groupBy("__source", "__b").agg(F.sum("__size").alias("__words"), F.first("__rest").alias("__rest"))
     run = Window.partitionBy("__source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__words").over(run), F.lit(0)))
-    ends = sums.filter((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__words")))
+    ends = sums.filter((F.col("__rest") > 0) & (F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__words")))
     ends = stored(ends.select(F.col("__source").alias("__s"), F.col("__b").alias("__end"), (F.col("__rest") - F.col("__before")).alias("__room")), "mix-ends")
     last = dealt.join(ends, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__end")))
     last = last.groupBy("__source", "__end", "__room", "__h").agg(F.sum("__size").alias("__size"))
