@@ -25,4 +25,30 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_repeats": op10_repeats,
 }
-SQL: dict[str, str] = {}
+#: DuckDB SQL by plain counting, for tables of some thousand documents.
+SQL: dict[str, str] = {
+    "op4_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 85 * (nx.c + ny.c - common)),
+r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op10_repeats": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+i AS (SELECT doc_id, b, unnest(range(1, n - 198)) AS s FROM b WHERE n >= 200),
+h AS (SELECT doc_id, s, sha256(b[s:s + 199]) AS h FROM i),
+t AS (SELECT doc_id, s FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+m AS (SELECT doc_id, s, coalesce(s - lag(s) OVER o > 200, TRUE) AS new FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+k AS (SELECT doc_id, s, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM m),
+r AS (SELECT doc_id, run, min(s) AS lo, max(s) + 200 AS hi FROM k GROUP BY 1, 2),
+g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS start FROM r),
+x AS (SELECT g.doc_id, list(b.b[g.start:g.lo - 1] ORDER BY g.lo) AS parts, max(g.hi) AS tail, sum(g.hi - g.lo) AS gone, count(*) AS runs FROM g JOIN b ON b.doc_id = g.doc_id GROUP BY 1)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(x.gone, 0)::BIGINT AS n_removed, coalesce(x.runs, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN x.doc_id IS NULL THEN b.b ELSE list_reduce(list_append(x.parts, b.b[x.tail:b.n]), lambda p, q: p || q) END) AS kept_sha256
+FROM b LEFT JOIN x ON x.doc_id = b.doc_id""",
+}
