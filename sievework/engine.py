@@ -91,7 +91,7 @@ class Pipeline:
         """
         kinds = any(isinstance(n, C.Check) and n.op.endswith("numeric") for n in self.program.nodes)
         state, other = self.run(R.json_state(df, self.malformed, kinds))
-        enriched = _entries(state)
+        enriched = state.entries()
         if auto_copy:
             rest = F.map_filter("__input", lambda k, _: ~F.map_contains_key(enriched, k))
             names = F.array_join(F.array_sort(F.map_keys(rest)), ",")
@@ -102,7 +102,7 @@ class Pipeline:
             enriched = F.map_concat(enriched, rest, marker)
         reasons = _reasons(state)
         if other is not None:
-            caught = _entries(other)
+            caught = other.entries()
             if other.copied is not False:
                 rest = F.transform_values(F.map_filter("__input", lambda k, _: ~F.map_contains_key(caught, k)), lambda _, v: F.coalesce(v, F.lit("")))
                 caught = F.when(as_column(other.copied), F.map_concat(caught, rest)).otherwise(caught)
@@ -141,15 +141,6 @@ class Pipeline:
         return rows.select(*out)
 
 
-def _entries(state: State):
-    """What actions have put into enriched, as a map."""
-    if not state.enriched:
-        return F.create_map().cast("map<string,string>")
-    each = [F.struct(as_column(s.there).alias("there"), F.lit(k).alias("key"), s.value.alias("value")) for k, s in state.enriched.items()]
-    there = F.transform(F.filter(F.array(*each), lambda e: e["there"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return F.map_from_entries(there)
-
-
 def _reasons(state: State):
     return state.reasons if state.reasons is not None else F.array().cast("array<string>")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import singledispatch
 
@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import config as C
 from ..plans import source as A
-from ..plans.source import Source
-from ..plans.state import Guard, Slot, State, as_column, both, negated
+from ..plans.state import Guard, State, as_column, both, either, negated
 from .checks import predicate
 
 
@@ -51,6 +50,34 @@ def _(a: C.Custom, state: State, g: Guard) -> State:
     return a.apply(state, g)
 
 
+def row_action(function: Callable[[dict, dict], dict | None], writes: Sequence[str]) -> C.Custom:
+    """An action in plain Python, for what columns can't express; it runs in Arrow batches and is slow beside the others.
+
+    function gets a record's input and what is enriched so far, as dicts of
+    strings, and may return {"updates": {...}, "reason": str, "stop": bool}.
+    Updates count for the keys in writes. What it raises is the record's error.
+    """
+
+    def safe(record: dict | None, enriched: dict | None) -> dict:
+        try:
+            out = function(dict(record or {}), dict(enriched or {})) or {}
+            return {"updates": out.get("updates") or {}, "reason": out.get("reason"), "stop": bool(out.get("stop")), "error": None}
+        except Exception as error:  # noqa: BLE001  it becomes the record's error
+            return {"updates": {}, "reason": None, "stop": False, "error": f"{type(error).__name__}: {error}"}
+
+    def run(state: State, g: Guard) -> State:
+        call = F.udf(safe, "struct<updates:map<string,string>,reason:string,stop:boolean,error:string>", useArrow=True)
+        state, out = state.column("u", call(state.records.map(), state.entries()))
+        for key in writes:
+            state = state.put("enriched", g, key, F.element_at(out["updates"], F.lit(key)), F.map_contains_key(out["updates"], F.lit(key)))
+        state = state.fail(both(g, out["error"].isNotNull()), out["error"])
+        state = state.reject(both(g, out["reason"].isNotNull()), out["reason"], False)
+        state, stopped = state.guard(either(state.stopped, both(g, out["stop"])))
+        return replace(state, stopped=stopped)
+
+    return C.Custom(run)
+
+
 @apply.register
 def _(a: C.AddFields, state: State, g: Guard) -> State:
     for key, value in a.pairs:

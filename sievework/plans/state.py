@@ -122,6 +122,14 @@ class State:
             return second
         return Slot(either(first.there, second.there), pick(first.there, first.value, second.value))
 
+    def entries(self) -> Column:
+        """What actions have put into enriched, as a map."""
+        if not self.enriched:
+            return F.create_map().cast("map<string,string>")
+        each = [F.struct(as_column(s.there).alias("there"), F.lit(k).alias("key"), s.value.alias("value")) for k, s in self.enriched.items()]
+        there = F.transform(F.filter(F.array(*each), lambda e: e["there"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        return F.map_from_entries(there)
+
     def unnamed(self, name: str) -> Slot:
         """A field of enriched that no action names: there if all were copied."""
         if self.copied is False:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.engine import AUTO_COPIED, JdbcClient, Pipeline, process_dir, process_json_strings, process_table
 from sievework.errors import ConfigError
+from sievework.operators.actions import row_action
 from sievework.plans import config as C
 from sievework.plans.lookups import lookup, requirements
 from sievework.plans.source import Source
@@ -146,6 +147,20 @@ def test_custom_actions_come_first(spark):
     assert out["loud"] == "X"
 
 
+def test_row_actions(spark):
+    def shout(record, enriched):
+        if record.get("a") == "bad":
+            raise ValueError("bad a")
+        return {"updates": {"loud": (record.get("a") or "").upper(), "undeclared": "x"}, "reason": "loud" if enriched.get("pre") else None, "stop": record.get("a") == "stop"}
+
+    creator = lambda kind, config: row_action(shout, ["loud"]) if kind == "shout" else None
+    config = items([act("add-enriched-field", [{"key": "pre", "value": "1"}]), act("shout"), ADD]) | {"global": {"exceptionHandlingList": [act("reject", {"reasonFrom": "unhandled-exception", "stopProcessingActionList": False}), act("add-rejection-reason", {"field": "why"})]}}
+    got = {g[0]["a"]: g for g in run(spark, config, {"a": "x"}, {"a": "stop"}, {"a": "bad"}, creators=[creator])}
+    assert got["x"][0]["loud"] == "X" and "hit" in got["x"][0] and "undeclared" not in got["x"][0] and got["x"][1] == ["loud"]
+    assert got["stop"][0]["loud"] == "STOP" and "hit" not in got["stop"][0]
+    assert got["bad"][0] == {"why": "ValueError: bad a", "a": "bad"}
+
+
 def test_table_and_json_agree(spark):
     rows = [("1", "x", None), ("2", "", "q")]
     df = spark.createDataFrame(rows, "a string, b string, c string")

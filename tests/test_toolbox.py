@@ -189,3 +189,13 @@ def test_queries_against_sql(spark, name):
     got = queries.QUERIES[name](spark, str(DATA))
     assert sorted(got.columns) == columns
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.select(*[f'"{c}"' for c in columns]).fetchall()))
+
+
+def test_files(tmp_path):
+    from sievework.sources import files
+
+    path = files.write_file('{"a":\n 1}\n', str(tmp_path / "c.json"))
+    assert files.file_to_string(path) == '{"a": 1}'
+    temp = files.write_temp_file("x")
+    assert Path(temp).read_text() == "x"
+    Path(temp).unlink()
