@@ -12,8 +12,8 @@ is sure of it, and if it touches neither a span of the patterns nor a match
 that their checks (Luhn, 255, digits) have turned down.
 
 How the plan grows: texts are read where they are, once for the fit and once to
-be tagged; nothing is shuffled but the FIT_WINDOWS windows that the fit takes,
-the first by a hash, so the model does not depend on how rows are dealt out.
+be tagged; nothing is shuffled but the windows of a sample whose size is fixed,
+chosen by hashes, so the model does not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from . import _text as T
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN = 64, 32, 12
-#: At most so many windows are taken for the fit.
-FIT_WINDOWS = 1536
+#: At most so many windows are taken for the fit, out of about so many documents.
+FIT_WINDOWS, FIT_DOCS = 1536, 20_000
 HIDDEN, EMBEDDED, EPOCHS, BATCH, RATE = 16, 8, 8, 48, 0.02
 #: The mean probability of its tags from which a span of the tagger counts.
 SURE = 0.97
@@ -254,18 +254,23 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for s, e in found:
                 for at in windows(s, e):
                     piece = text[at : min(e, at + WINDOW)]
-                    rows.append((zlib.crc32(piece.encode("utf-8", "replace")), piece, _tags(spans, at).tolist()))
+                    rows.append((zlib.crc32(piece.encode("utf-8", "replace")), piece, "".join(map(str, _tags(spans, at)))))
         yield pd.DataFrame(rows, columns=["mark", "piece", "tags"])
 
 
-def fit_tagger(docs: DataFrame, limit: int = FIT_WINDOWS) -> Tagger | None:
-    """A tagger fitted to limit windows at most, labelled by the patterns; None if there are none."""
-    found = docs.select("text").mapInPandas(_examples, "mark bigint, piece string, tags array<bigint>")
+def fit_tagger(docs: DataFrame, limit: int = FIT_WINDOWS, sample: int = FIT_DOCS) -> Tagger | None:
+    """A tagger fitted to limit windows at most, labelled by the patterns; None if there are none.
+
+    The windows come from about sample rows, chosen by a hash of all of a row.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    chosen = docs.filter(F.abs(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]) % 1_000_000) < int(share * 1_000_000))
+    found = chosen.select("text").mapInPandas(_examples, "mark bigint, piece string, tags string")
     rows = found.orderBy("mark", "piece", "tags").limit(limit).collect()
     if not rows:
         return None
     x = np.stack([_ids(r.piece, 0, len(r.piece)) for r in rows])
-    return Tagger().fit(x, np.array([r.tags for r in rows]))
+    return Tagger().fit(x, np.array([[int(c) for c in r.tags] for r in rows]))
 
 
 def tagged(texts: list[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
