@@ -82,7 +82,9 @@ def joined(state: State, program: C.Program, tables: Mapping[str, DataFrame] | N
             read[table] = read_table(df.sparkSession, needs[table], tables)
         kind = read[table].schema[where].dataType
         rows = by_key(read[table], where, list(columns)).select(F.col("__key").alias(f"__lk{i}"), F.col("__row").alias(f"__lr{i}"))
-        key = key_of(state.records.slot(equals).value, kind)
+        whole = state.records.whole.get(equals)
+        as_is = whole is not None and isinstance(kind, (S.IntegerType, S.LongType))
+        key = whole.try_cast(kind) if as_is else key_of(state.records.slot(equals).value, kind)
         df = df.join(rows, key == F.col(f"__lk{i}"), "left")
         found[table, where, equals] = F.col(f"__lk{i}").isNotNull(), {c: F.col(f"__lr{i}").getField(c) for c in columns}
     return replace(state, df=df, joined=found)

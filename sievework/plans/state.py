@@ -62,8 +62,9 @@ def absent() -> Slot:
 class Records:
     """Input records: a map of strings, or the columns of a DataFrame."""
 
-    def __init__(self, fields: Mapping[str, Column] | None = None, strings: Mapping[str, bool] | None = None) -> None:
-        self.fields, self.strings = fields, strings
+    def __init__(self, fields: Mapping[str, Column] | None = None, strings: Mapping[str, bool] | None = None, whole: Mapping[str, Column] | None = None) -> None:
+        #: whole: fields of a whole-number type as they are, for keys that need not be read from text.
+        self.fields, self.strings, self.whole = fields, strings, whole or {}
 
     def slot(self, name: str) -> Slot:
         if self.fields is not None:

@@ -50,6 +50,7 @@ def table_state(df: DataFrame) -> State:
         c = F.col(f"`{f.name}`")
         return F.to_json(c) if isinstance(f.dataType, (S.StructType, S.ArrayType, S.MapType)) else c.cast("string")
 
-    renamed = df.select(*[text(f).alias(inner[f.name]) for f in df.schema.fields])
+    whole = {f.name: f"__raw_{i}" for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, (S.IntegerType, S.LongType))}
+    renamed = df.select(*[text(f).alias(inner[f.name]) for f in df.schema.fields], *[F.col(f"`{c}`").alias(n) for c, n in whole.items()])
     strings = {f.name: isinstance(f.dataType, S.StringType) for f in df.schema.fields}
-    return State(renamed, Records({c: F.col(n) for c, n in inner.items()}, strings))
+    return State(renamed, Records({c: F.col(n) for c, n in inner.items()}, strings, {c: F.col(n) for c, n in whole.items()}))

@@ -86,7 +86,7 @@ def test_features_of_empty_texts_are_zero():
 def test_losses_against_a_plain_version(spark):
     texts = [(0, "a b a b"), (1, "a b c"), (2, "c c c c"), (3, None), (4, "")]
     docs = spark.createDataFrame(texts, "doc_id int, text string")
-    vocabulary, target, background = lm_scoring.fit_models(docs, spark.createDataFrame([(0,), (1,), (None,)], "doc_id int"))
+    vocabulary, target, background = lm_scoring.fit_models(lm_scoring.marked(docs, spark.createDataFrame([(0,), (1,), (None,)], "doc_id int")))
     assert len(vocabulary.words) == 3
     got = by_id(lm_scoring.score_lm(docs, vocabulary, target, background), "n_tokens", "target_loss", "background_loss", "lm_score")
 
@@ -265,7 +265,7 @@ def operators():
     return {
         "toxicity": lambda spark, docs, labels: toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)),
         "quality": lambda spark, docs, labels: quality.score_quality(docs, quality.fit_quality(docs, labels)),
-        "lm": lambda spark, docs, labels: lm_scoring.score_lm(docs, *lm_scoring.fit_models(docs, labels.filter("quality = 1"))),
+        "lm": lambda spark, docs, labels: lm_scoring.score_lm(docs, *lm_scoring.fit_models(lm_scoring.marked(docs, labels.filter("quality = 1")))),
         "pii": lambda spark, docs, labels: pii.find_pii(docs),
         "redacted": lambda spark, docs, labels: pii.redacted(docs),
         "subword": lambda spark, docs, labels: subword.encoded(docs, subword.load()),
