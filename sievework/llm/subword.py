@@ -32,7 +32,7 @@ from . import _text as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 #: Code points of a block, and of a slice of its distinct words.
-BLOCK, SLICE = 1 << 22, 1 << 18
+BLOCK, SLICE = 1 << 20, 1 << 17
 #: A word longer than this is folded on its own.
 LONG = 64
 _NONE = np.iinfo(np.int32).max
