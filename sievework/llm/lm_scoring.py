@@ -1,6 +1,6 @@
 """Cross-entropy difference between two n-gram models.
 
-A target model is counted over the documents that are marked as such, a
+A target model is counted over the documents that count as the target, a
 background model over all. They are matched: one vocabulary (the most frequent
 words of all documents, at most VOCABULARY), one order (pairs of words), one
 smoothing. A document's score is its tokens' mean loss in the target model less
@@ -12,8 +12,9 @@ where a cell that holds other pairs too counts for no more than a or b do.
 
 How the plan grows: all words of all documents are counted exactly, with sums
 in each task before the shuffle (about a row for each distinct word and task),
-and so are the cells; documents are joined to their marks by doc_id once. The
-driver gets the vocabulary and the cells, whose number is fixed.
+and so are the cells; the texts are not shuffled, unless the target is given as
+a table of marks. The driver gets the vocabulary and the cells, whose number is
+fixed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._store import stored, sweep
+from .quality import fit_quality, score_quality
 
 VOCABULARY, CELLS, MASS = 1 << 15, 1 << 19, 8.0
 _MAYBE = 22
@@ -132,16 +134,21 @@ class Model:
         return -np.log2((both + MASS * single) / (self.firsts[before] + MASS))
 
 
-def fit_models(docs: DataFrame, marks: DataFrame, limit: int = VOCABULARY) -> tuple[Vocabulary, Model, Model]:
-    """Vocabulary, target model and background model.
+def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs with target, 1 for the documents whose doc_id is in marks; null is no mark. Joins, so it shuffles the texts."""
+    marks = marks.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct().withColumn("__marked", F.lit(1))
+    rows = docs.drop("target").join(marks, F.col("doc_id") == F.col("__id"), "left")
+    return rows.withColumn("target", F.coalesce("__marked", F.lit(0))).drop("__id", "__marked")
+
+
+def fit_models(rows: DataFrame, vocabulary: Vocabulary | None = None) -> tuple[Vocabulary, Model, Model]:
+    """Vocabulary, target model and background model of rows with text and target (1 or 0; null is 0).
 
-    marks holds the doc_id of the documents of the target, each at least once;
-    null is no mark. Without any, the target model is the smoothing alone.
+    Without any row of the target, its model is the smoothing alone.
     """
-    vocabulary = vocabulary_of(docs, limit)
-    sweep(docs.sparkSession)
-    marks = marks.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct().withColumn("__marked", F.lit(1))
-    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__marked", F.lit(0)).alias("target"))
+    vocabulary = vocabulary or vocabulary_of(rows)
+    sweep(rows.sparkSession)
+    rows = rows.select("text", F.coalesce(F.col("target").cast("int"), F.lit(0)).alias("target"))
     counts = rows.mapInArrow(_cell_counts(vocabulary), "kind int, at int, target int, n bigint").groupBy("kind", "at", "target").agg(F.sum("n").alias("n"))
     size = vocabulary.start + 1
     tables = [np.zeros((2, n), np.int64) for n in (size, CELLS, size)]
@@ -187,7 +194,11 @@ def score_lm(docs: DataFrame, vocabulary: Vocabulary, target: Model, background:
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Every document's cross-entropy difference; the target is what labels mark as good."""
+    """Every document's cross-entropy difference; the target is what the quality model, learned from labels, holds good.
+
+    That is decided at each text, so documents are not joined to anything.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    return score_lm(docs, *fit_models(docs, marks)).drop("text")
+    judged = score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = judged.withColumn("target", (F.col("quality_score") >= 0.5).cast("int"))
+    return score_lm(docs, *fit_models(rows, vocabulary_of(docs))).drop("text")
