@@ -91,25 +91,30 @@ class Pipeline:
         """
         kinds = any(isinstance(n, C.Check) and n.op.endswith("numeric") for n in self.program.nodes)
         state, other = self.run(R.json_state(df, self.malformed, kinds))
-        enriched = state.entries()
+        error, reasons, copied = state.error, _reasons(state), state.copied
+        # Columns of their own: what follows refers to them for each key.
+        state, enriched = state.column("m", state.entries())
+        if other is not None:
+            state, caught = state.column("m", other.entries())
+        some = F.size(enriched) > 0
         if auto_copy:
-            rest = F.map_filter("__input", lambda k, _: ~F.map_contains_key(enriched, k))
+            state, there = state.column("k", F.map_keys(enriched))
+            state, rest = state.column("m", F.map_filter("__input", lambda k, _: ~F.array_contains(there, k)))
+            some = some | (F.size(rest) > 0)
             names = F.array_join(F.array_sort(F.map_keys(rest)), ",")
-            if state.copied is not False:
+            if copied is not False:
                 blank = F.transform_values(rest, lambda _, v: F.coalesce(v, F.lit("")))
-                rest, names = F.when(as_column(state.copied), blank).otherwise(rest), F.when(~as_column(state.copied), names)
+                rest, names = F.when(as_column(copied), blank).otherwise(rest), F.when(~as_column(copied), names)
             marker = F.when(F.coalesce(names != "", F.lit(False)), F.create_map(F.lit(AUTO_COPIED), names)).otherwise(F.create_map().cast("map<string,string>"))
             enriched = F.map_concat(enriched, rest, marker)
-        reasons = _reasons(state)
         if other is not None:
-            caught = other.entries()
             if other.copied is not False:
                 rest = F.transform_values(F.map_filter("__input", lambda k, _: ~F.map_contains_key(caught, k)), lambda _, v: F.coalesce(v, F.lit("")))
                 caught = F.when(as_column(other.copied), F.map_concat(caught, rest)).otherwise(caught)
-            enriched = F.when(state.error.isNotNull(), caught).otherwise(enriched)
-            reasons = F.when(state.error.isNotNull(), _reasons(other)).otherwise(reasons)
-        out = state.df.select(enriched.alias("enriched"), reasons.alias("reasons"))
-        return out.filter(F.size("enriched") > 0)
+            some = F.when(error.isNotNull(), F.size(caught) > 0).otherwise(some)
+            enriched = F.when(error.isNotNull(), caught).otherwise(enriched)
+            reasons = F.when(error.isNotNull(), _reasons(other)).otherwise(reasons)
+        return state.df.filter(some).select(enriched.alias("enriched"), reasons.alias("reasons"))
 
     def over_table(self, df: DataFrame, marker: bool = True) -> DataFrame:
         """The rows of df as records, and the result as string columns: input fields, then those that actions add.

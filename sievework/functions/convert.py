@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 #: Code points up to a space, as trimmed from both ends.
-_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_EDGES = "".join(map(chr, range(0x21)))
+#: Letters that Java takes for the type of a number at its end.
+_LETTERS = ("d", "D", "f", "F", "l", "L")
 _NUMERIC = (S.IntegerType, S.LongType, S.FloatType, S.DoubleType)
 
 
@@ -23,7 +25,11 @@ class TrimConfig:
 
 
 def trimmed(v: Column) -> Column:
-    return F.regexp_replace(v, _EDGES, "")
+    return F.btrim(v, F.lit(_EDGES))
+
+
+def _ends_in_letter(v: Column) -> Column:
+    return F.right(v, F.lit(1)).isin(*_LETTERS)
 
 
 def ltrim(v: Column) -> Column:
@@ -37,8 +43,9 @@ def rtrim(v: Column) -> Column:
 
 def text_to_double(v: Column) -> Column:
     """A double, or null: no type letter at the end, no short names of infinity, no blanks inside."""
-    odd = v.rlike("[dDfFlL]$") | v.rlike(r"(?i)^[+-]?(inf|infinity|nan)$") & ~v.rlike(r"^[+-]?(Infinity|NaN)$")
-    return F.when(odd | v.rlike(_EDGES), None).otherwise(v.try_cast("double"))
+    word = F.upper(F.ltrim(v, F.lit("+-")))
+    odd = _ends_in_letter(v) | word.isin("INF", "INFINITY", "NAN") & ~F.ltrim(v, F.lit("+-")).isin("Infinity", "NaN")
+    return F.when(odd | (trimmed(v) != v), None).otherwise(v.try_cast("double"))
 
 
 def text_to(v: Column, kind: S.DataType) -> Column:
@@ -75,7 +82,7 @@ def convert(v: Column, name: str, kind: S.DataType, config: TrimConfig | None =
     error = F.when(v.isNotNull() & (trimmed(v) != "") & value.isNull(), could_not)
     if isinstance(kind, _NUMERIC):
         letters = F.concat(F.lit("can't convert '"), v, F.lit(f"' in field '{name}' to {type_name} type. (No alphanumeric characters are allowed in numeric fields.)"))
-        error = F.when(trimmed(v).rlike("[dDfFlL]$") & (trimmed(v) != ""), letters).otherwise(error)
+        error = F.when(_ends_in_letter(trimmed(v)), letters).otherwise(error)
     return value, F.coalesce(null_error, error).cast("string")
 
 

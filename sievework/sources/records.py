@@ -29,7 +29,8 @@ def json_state(df: DataFrame, malformed: str = FAIL, kinds: bool = False) -> Sta
     kinds also finds which fields hold JSON text, at the price of a second parse.
     """
     raw = F.col("value")
-    parsed = F.from_json(raw, "map<string,string>")
+    df = df.withColumn("__parsed", F.from_json(raw, "map<string,string>"))
+    parsed = F.col("__parsed")
     bad = parsed.isNull() & raw.isNotNull()
     if malformed == FAIL:
         parsed = F.when(bad, F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(raw, 1, 200)))).otherwise(parsed)
