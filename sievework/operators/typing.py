@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -51,9 +51,21 @@ def to_typed(enriched: DataFrame, schema: Schema, trim: TrimConfig | None = None
         values.append(value.alias(f.name))
         if not isinstance(f.type, S.StringType) and f.name not in copied:
             errors.append(error)
+    rows = _evaluated(enriched, values, errors)
+    bad = F.map_concat(F.map_filter("enriched", lambda k, _: k != TYPE_ERROR), F.create_map(F.lit(TYPE_ERROR), F.col("__typed.error")))
+    return Outcome(rows.filter("__typed.error = ''").select("__typed.row.*"), rows.filter("__typed.error != ''").select(bad.alias("enriched")))
+
+
+def _evaluated(df: DataFrame, values: list[Column], errors: list[Column]) -> DataFrame:
+    """df with __typed: values as row, and all errors in one text.
+
+    An explode of one element stands between the two, so that a filter on the
+    errors is not pushed below what the values are made of, where all of it
+    would be written out, and run, once for each time that it is referred to.
+    """
     message = F.concat_ws("; ", *errors) if errors else F.lit("")
-    bad = F.map_concat(F.map_filter("enriched", lambda k, _: k != TYPE_ERROR), F.create_map(F.lit(TYPE_ERROR), message))
-    return Outcome(enriched.filter(message == "").select(*values), enriched.filter(message != "").select(bad.alias("enriched")))
+    row = F.struct(*values) if values else F.struct(F.lit(None).alias("__none"))
+    return df.select("*", F.explode(F.array(F.struct(row.alias("row"), message.alias("error")))).alias("__typed"))
 
 
 def columns_to_typed(df: DataFrame, schema: Schema, trim: TrimConfig | None = None) -> Outcome:
@@ -65,5 +77,5 @@ def columns_to_typed(df: DataFrame, schema: Schema, trim: TrimConfig | None = No
         values.append(value.alias(f.name))
         if not isinstance(f.type, S.StringType):
             errors.append(error)
-    message = F.concat_ws("; ", *errors) if errors else F.lit("")
-    return Outcome(df.filter(message == "").select(*values), df.filter(message != "").select("*", message.alias(TYPE_ERROR)))
+    rows = _evaluated(df, values, errors)
+    return Outcome(rows.filter("__typed.error = ''").select("__typed.row.*"), rows.filter("__typed.error != ''").select(*[F.col(f"`{c}`") for c in df.columns], F.col("__typed.error").alias(TYPE_ERROR)))
