@@ -13,8 +13,9 @@ Candidates are leaders of a bucket against its members, never all pairs: a
 round compares each bucket's leaders with the members that are not yet known to
 be connected to them, then a bucket whose members are all connected is done,
 and the others go on with new leaders, eight times as many, until a bucket has
-no member left that hasn't led. A pair is passed over if the elements that
-only one set has anywhere already rule it out. Each other pair is confirmed on
+no member left that hasn't led. After the first leaders, sets with a rare
+element in common are compared by it, RARE to an element at most. A pair is
+passed over if the elements that the two can't have in common rule it out. Each other pair is confirmed on
 the full sets, so no link that the bands show is lost and none is false.
 
 How the plan grows: shuffled are BANDS rows for each distinct set, the texts of
@@ -37,6 +38,8 @@ from .components import components
 
 SHINGLE = 5
 ROWS, BANDS = 5, 32
+#: Sets that may have an element which is still rare, in groups that the first leaders have left open.
+RARE = 8
 BINS = ROWS * BANDS
 _MULTIPLIERS = T.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -138,6 +141,13 @@ def _own(sets: DataFrame) -> DataFrame:
     return sets.select("cls", "key0", "key1", F.size("items").alias("n")).join(counts, ["key0", "key1"], "left").select("cls", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def _rare(sets: DataFrame, most: int) -> DataFrame:
+    """(cls, item): the elements that at most so many of these sets have."""
+    each = sets.select("cls", F.explode("items").alias("item"))
+    few = each.groupBy("item").agg(F.count(F.lit(1)).alias("__m")).filter(F.col("__m") <= most).select("item")
+    return each.join(few, "item")
+
+
 def _possible(n: Column, own: Column, m: Column, other: Column, percent: int) -> Column:
     """Whether sets of sizes n and m can be alike, as what only one of them has is in no intersection."""
     both = F.least(n - own, m - other)
@@ -182,8 +192,27 @@ def linked(docs: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
         kept = ["cls", "comp", "n", "own"]
         if many > 1:
             # What two sets have in one bucket they often have in many; only the first of these pairs them.
-            shapes = shapes or stored(signed.join(named.select("cls").distinct(), "cls").select("cls", "bands").dropDuplicates(["cls"]), "near-shapes")
             kept.append("bands")
+        if many > 1 and shapes is None:
+            left = stored(named.select("cls").distinct(), "near-left")
+            shapes = stored(signed.join(left, "cls").select("cls", "bands").dropDuplicates(["cls"]), "near-shapes")
+            # Sets with a rare element in common are compared at once, by that element; two others
+            # then have none of their rare elements in common, which rules most of the rest out.
+            rare = stored(_rare(sets.select("cls", "items").join(left, "cls", "left_semi"), RARE), "near-rare")
+            sizes = named.select("cls", "comp", "n", "own").dropDuplicates(["cls"])
+            x, y = (rare.select(F.col("cls").alias(c), "item") for c in "ab")
+            met = x.join(y, "item").filter("a < b").select("a", "b").distinct()
+            for c in "ab":
+                met = met.join(sizes.select(F.col("cls").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("comp", "n", "own")]), c)
+            met = met.filter((F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("own_a"), F.col("n_b"), F.col("own_b"), percent)).select("a", "b")
+            found = stored(confirmed(met, sets, percent), "near-links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                comps = components(links)
+            counts = rare.groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("own"))
+            members = stored(named.select("band", "cls", "n").join(counts, "cls", "left").withColumn("own", F.coalesce("own", F.lit(0))), "near-rest")
+            release(named, rare, left)
+            continue
         # Those go first that share most of what they have: in a group of near copies the rest is linked through them.
         first = F.min_by("cls", F.struct("own", "cls")).alias("cls")
         led = named.groupBy("band", F.pmod(F.hash("cls"), F.lit(many)).alias("__salt")).agg(first).select("band", "cls", F.lit(True).alias("led"))
@@ -220,9 +249,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs), "near-signed")
     comps = linked(docs, signed, percent)
-    rows = signed.select("doc_id", "n_shingles", "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ids = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("__least"))
-    out = rows.join(ids, "comp", "left")
+    # Sums and joins by class or component stand in different stages, so that Spark may split a large one.
+    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("__id"))
+    classes = stored(classes.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-classes")
+    least = stored(classes.groupBy("comp").agg(F.min("__id").alias("__least")), "near-least")
+    names = stored(classes.join(least, "comp").select(F.col("cls").alias("__cls"), "__least"), "near-names")
+    out = signed.select("doc_id", "n_shingles", "cls").join(names, F.col("cls") == F.col("__cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("__least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
 
