@@ -142,10 +142,11 @@ def store_media(docs: DataFrame, folder: str) -> DataFrame:
     docs = docs.drop(*made)
     rest = [f for f in docs.schema if f.name != "text"]
     refs = stored(docs.mapInArrow(_writing(folder), T.schema_of(rest, "n_bytes bigint", "digest string", "shard string", "offset bigint", "length bigint")), "media-refs")
-    one = refs.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("__at")).withColumnRenamed("digest", "__digest")
+    # Stored, so that Spark may split the join for a payload with very many rows.
+    one = stored(refs.groupBy(F.col("digest").alias("__digest")).agg(F.min(F.struct("shard", "offset", "length")).alias("__at")), "media-places")
     whole = refs.drop("shard", "offset", "length").join(one, F.col("digest") == F.col("__digest"))
     whole = stored(whole.select(*[f.name for f in rest], "n_bytes", "digest", "__at.shard", "__at.offset", "__at.length"), "media-rows")
-    release(refs)
+    release(refs, one)
     return whole
 
 
@@ -177,7 +178,7 @@ def with_headers(refs: DataFrame, folder: str) -> DataFrame:
 
     refs = refs.drop("width", "height", "bits")
     seen = _members(refs).mapInArrow(run, "__digest string, width int, height int, bits int")
-    return refs.join(seen, F.col("digest") == F.col("__digest")).drop("__digest")
+    return refs.join(stored(seen, "media-headers"), F.col("digest") == F.col("__digest")).drop("__digest")
 
 
 def read_media(refs: DataFrame, folder: str) -> DataFrame:
@@ -212,6 +213,6 @@ def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "media")
     refs = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
     found = _members(refs).mapInArrow(_digested(folder), "__digest string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    rows = with_headers(refs, folder).join(found, F.col("digest") == F.col("__digest"))
+    rows = with_headers(refs, folder).join(stored(found, "media-digests"), F.col("digest") == F.col("__digest"))
     # The digest is that of the bytes read back: any other is an error there.
     return rows.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
