@@ -111,6 +111,29 @@ def test_losses_against_a_plain_version(spark):
     assert got[3] == got[4] == (0, None, None, None)
 
 
+def test_models_grow_with_the_corpus(spark):
+    """More different words and pairs than any fixed table of 2^15 words and 2^19 cells holds apart: every count is exact."""
+    from collections import Counter
+
+    r = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{x}" for x in (r.random(4000) ** 2 * 90_000).astype(int)), i % 2) for i in range(200)]
+    rows = spark.createDataFrame(texts, "doc_id int, text string, target int").repartition(3)
+    got = by_id(lm_scoring.score_corpus(rows, rows), "n_tokens", "target_loss", "background_loss")
+    for place, corpus in ((1, [t for _, t, m in texts if m]), (2, [t for _, t, _ in texts])):
+        one, two, first = Counter(), Counter(), Counter()
+        for t in corpus:
+            w = t.split()
+            one.update(w)
+            first.update(["<s>", *w[:-1]])
+            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+        n, size = sum(one.values()), len({w for _, t, _ in texts for w in t.split()})
+        assert size > 1 << 15
+        for i, t, _ in texts[:8]:
+            pairs = zip(["<s>", *t.split()[:-1]], t.split(), strict=True)
+            want = np.mean([-np.log2((two[a, b] + lm_scoring.MASS * (one[b] + 0.5) / (n + 0.5 * (size + 2))) / (first[a] + lm_scoring.MASS)) for a, b in pairs])
+            assert got[i][0] == 4000 and got[i][place] == pytest.approx(want)
+
+
 # Personal data
 
 
