@@ -5,8 +5,10 @@ small random groups and with groups of equal signs under random planes, split
 to a bounded size, in which all are compared. A round of descent then compares,
 at each vector, a sample of its neighbours and of those that have it as a
 neighbour, pairs with a new one only: a neighbour's neighbour is likely a
-neighbour. A query starts from its own place in the graph and expands, round by
-round, the STEP best vectors it hasn't expanded, until its EF best all have been.
+neighbour; rounds end when one changes less than STABLE of all entries. A query
+starts from its own place in the graph and expands, round by round, the STEP best
+vectors it hasn't expanded, until its best all have been. How many it holds is
+EF, doubled until the recall of TRIED queries against brute force is SAFE.
 
 Everything is a join or a sum by key: groups and samples have fixed sizes, so
 rows grow with the vectors and no key gathers more than a few hundred. Tables
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 
 from ._store import stored, sweep
 
-K, GROUP, SAMPLE, ROUNDS = 32, 64, 24, 8
+K, GROUP, SAMPLE = 32, 64, 24
 EF, STEP = 256, 64
+#: Descent ends when a round has changed less than this share of all list entries.
+STABLE = 0.01
+#: The recall that so many queries, searched by brute force too, must reach before the others are searched.
+SAFE, TRIED = 0.95, 256
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -121,8 +127,11 @@ def _sampled(edges: DataFrame, key: str, value: str, seed: int, size: int) -> Da
     return chosen.select("center", "x.member", "x.new")
 
 
-def build_graph(units: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """(id, near) over units (id, unit, signs); near holds (sim, -other, new), best first."""
+def build_graph(units: DataFrame, k: int = K, stable: float = STABLE) -> DataFrame:
+    """(id, near) over units (id, unit, signs); near holds (sim, -other, new), best first.
+
+    An entry gives way only to a better one, so rounds change less and less.
+    """
     n = units.count()
     every = units.select("id", "unit", F.lit(True).alias("new"), F.lit(-2.0).cast("float").alias("least"))
     groups = max(1, n // GROUP)
@@ -137,7 +146,8 @@ def build_graph(units: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame
         first.append(_compare(named.select(center.alias("center"), F.col("id").alias("member"), F.lit(True).alias("new"), F.lit(-2.0).cast("float").alias("least"), "unit")))
     edges = first[0].union(first[1]).union(first[2]).withColumn("new", F.lit(True))
     graph = stored(_best(edges, k), "near-graph")
-    for turn in range(rounds):
+    turn, changed = 0, 1.0
+    while changed >= stable:
         edges = _edges(graph)
         members = _sampled(edges, "id", "other", turn, SAMPLE).union(_sampled(edges, "other", "id", turn, SAMPLE))
         members = members.groupBy("center", "member").agg(F.max("new").alias("new"))
@@ -146,6 +156,8 @@ def build_graph(units: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame
         found = _compare(members.join(full, F.col("member") == F.col("id")))
         known = edges.withColumn("new", F.lit(False))
         graph = stored(_best(known.union(found.withColumn("new", F.lit(True))), k), "near-graph")
+        entries, new = graph.agg(F.sum(F.size("near")), F.sum(F.size(F.filter("near", lambda x: x["new"])))).first()
+        turn, changed = turn + 1, (new or 0) / max(1, entries or 0)
         sweep(units.sparkSession)
     return graph
 
@@ -157,11 +169,56 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "other": batch.column("other"), "sim": pa.array(sim.astype(np.float32))})
 
 
-def search(units: DataFrame, graph: DataFrame, queries: DataFrame, ef: int = EF, step: int = STEP) -> DataFrame:
-    """(id, other): the ef best that a greedy walk finds for each of queries (id), which are rows of units."""
+def links_of(graph: DataFrame, k: int = K) -> DataFrame:
+    """(node, links): each id's entries in the graph, and at most k of those that have it as an entry."""
     edges = _edges(graph).select("id", "other", "sim")
-    back = _sampled(edges.withColumn("new", F.lit(True)), "other", "id", 99, K).select(F.col("center").alias("id"), F.col("member").alias("other"))
-    links = stored(edges.select("id", "other").union(back).distinct().groupBy(F.col("id").alias("node")).agg(F.collect_list("other").alias("links")), "near-links")
+    back = _sampled(edges.withColumn("new", F.lit(True)), "other", "id", 99, k).select(F.col("center").alias("id"), F.col("member").alias("other"))
+    return stored(edges.select("id", "other").union(back).distinct().groupBy(F.col("id").alias("node")).agg(F.collect_list("other").alias("links")), "near-links")
+
+
+def exact(units: DataFrame, queries: DataFrame, top: int) -> dict[int, list[tuple[float, int]]]:
+    """Each query's top (sim, other), by comparing it with all units; queries (id) are few enough for a task."""
+    mine = units.join(queries, "id", "left_semi").select("id", "unit").toArrow().combine_chunks()
+    ids = mine.column("id").to_numpy()
+    x = np.stack([np.array(u, np.float32) for u in mine.column("unit").to_pylist()]) if len(ids) else np.zeros((0, 0), np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            other = batch.column("id").to_numpy()
+            for s in range(0, len(other) if len(ids) else 0, 1024):
+                sim = x @ _matrix(batch.column("unit").slice(s, 1024)).T
+                sim[ids[:, None] == other[s : s + 1024]] = -9
+                at = np.argsort(-sim, 1, "stable")[:, :top]
+                best = np.take_along_axis(sim, at, 1)
+                q, c = np.nonzero(best > -9)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[q]), "other": pa.array(other[s + at[q, c]]), "sim": pa.array(best[q, c])})
+
+    found = units.select("id", "unit").mapInArrow(run, "id bigint, other bigint, sim float").withColumn("new", F.lit(True))
+    return {r["id"]: [(x["sim"], -x["minus"]) for x in r["near"]] for r in _best(found, top).collect()}
+
+
+def long_enough(units: DataFrame, links: DataFrame, queries: DataFrame, top: int, ef: int = EF) -> int:
+    """ef, doubled until a walk finds SAFE of the top that brute force finds for TRIED of queries, or until it holds all units.
+
+    A walk's find counts as right if it's at least as near as the last of the top.
+    """
+    tried = stored(queries.select("id").distinct().orderBy(F.xxhash64(F.lit(5), "id")).limit(TRIED), "near-tried")
+    want, n = exact(units, tried, top), units.count()
+    if not want:
+        return ef
+    least = units.sparkSession.createDataFrame([(q, float(x[-1][0]) - 1e-6) for q, x in want.items()], "id bigint, least double")
+    while ef < n:
+        found = search(units, links, tried, ef, with_sim=True).join(F.broadcast(least), "id").filter("sim >= least")
+        hits = found.groupBy("id").count().agg(F.sum(F.least("count", F.lit(top)))).first()[0] or 0
+        if hits >= SAFE * sum(len(x) for x in want.values()):
+            break
+        ef *= 2
+    return ef
+
+
+def search(units: DataFrame, links: DataFrame, queries: DataFrame, ef: int = EF, step: int = STEP, with_sim: bool = False) -> DataFrame:
+    """(id, other): the ef best that a greedy walk over links finds for each of queries (id), which are rows of units."""
+    columns = ("id", "other", "sim") if with_sim else ("id", "other")
     asked = stored(units.select("id", F.col("unit").alias("query")).join(queries, "id", "left_semi"), "near-queries")
     names = units.select(F.col("id").alias("__id"), "unit")
 
@@ -179,7 +236,7 @@ def search(units: DataFrame, graph: DataFrame, queries: DataFrame, ef: int = EF,
         rows = state.select("id", F.posexplode(F.filter("near", lambda x: x["new"])).alias("at", "x"), F.element_at("near", -1)["sim"].alias("least"), F.size("near").alias("many"))
         todo = stored(rows.filter(F.col("at") < step).select("id", (-F.col("x.minus")).alias("node")), "near-todo")
         if todo.isEmpty():
-            return _edges(state).select("id", "other")
+            return _edges(state).select(*columns)
         pairs = todo.join(links, "node").select("id", F.explode("links").alias("other")).filter("id != other").distinct()
         pairs = pairs.join(_edges(state), ["id", "other"], "left_anti").join(asked, "id")
         known = _edges(state).join(todo.withColumnRenamed("node", "other").withColumn("__done", F.lit(True)), ["id", "other"], "left")
@@ -195,7 +252,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "other": batch.column("other"), "score": pa.array(score)})
 
 
-def nearest(vectors: DataFrame, asked: Column, top: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, asked: Column, top: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", ef: int = EF) -> DataFrame:
     """(query_id, rank, vec_id, score): the top nearest that are found for each vector whose id meets asked.
 
     asked is a condition on a column id. Nearness is the cosine in double
@@ -205,7 +262,8 @@ def nearest(vectors: DataFrame, asked: Column, top: int = 5, vec_id: str = "vec_
     """
     rows = stored(usable(vectors, vec_id, embedding), "near-vectors")
     units = stored(rows.mapInArrow(_units, "id bigint, unit array<float>, signs bigint"), "near-units")
-    found = search(units, build_graph(units), rows.filter(asked).select("id"))
+    links, queries = links_of(build_graph(units)), rows.filter(asked).select("id")
+    found = search(units, links, queries, long_enough(units, links, queries, top, ef))
     x = rows.select("id", F.col("vec").alias("x"))
     y = rows.select(F.col("id").alias("other"), F.col("vec").alias("y"))
     scored = found.join(y, "other").join(x, "id").select("id", "other", "x", "y").mapInArrow(_cosines, "id bigint, other bigint, score double")

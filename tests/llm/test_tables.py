@@ -205,6 +205,15 @@ def test_recall_and_scores(spark):
         assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
 
 
+def test_search_is_widened_until_recall_is_safe(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("id") % 25 == 0, ef=6).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert recall(dict(enumerate(x)), found, range(0, 3000, 25)) >= 0.93
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, []), (1, [2.0, 0.0]), (10, [3.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"id": F.lit(1), "vec": F.lit(2), "center": F.lit(3)})
