@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _text as T
 
@@ -313,5 +314,8 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def op8_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """Every document's ids."""
-    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), load(model))
+    """Every document's ids, and the SHA-256 of the text that they decode to."""
+    pieces = load(model)
+    rows = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), pieces)
+    back = decoded(rows.withColumn("__ids", F.col("ids")), pieces)
+    return back.select("doc_id", F.col("__ids").alias("ids"), "n_tokens", F.sha2("text", 256).alias("text_sha256"))

@@ -281,6 +281,19 @@ def test_viterbi_against_all_paths(pieces):
         assert sum(score.get(w[a:b], lost) for a, b in itertools.pairwise(cuts)) == pytest.approx(best)
 
 
+def test_whole_table_decodes_to_its_texts(spark):
+    import hashlib
+
+    if not Path(subword.MODEL).exists():
+        pytest.skip("needs the model")
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = subword.op8_sentencepiece(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.n_tokens == len(r.ids) and r.text_sha256 == hashlib.sha256((texts[r.doc_id] or "").replace("\u2581", " ").encode()).hexdigest()
+
+
 # All of them on odd tables
 
 
