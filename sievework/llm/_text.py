@@ -6,6 +6,7 @@ A word is a longest run of bytes other than space and bytes 9 to 13.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +14,14 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
 BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C55
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A span longer than this is hashed on its own.
+LONG_SPAN = 256
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64, a bijection of 64-bit values."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
@@ -28,25 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as they have been needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * BLOCK)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,18 +56,33 @@ def lower(data: np.ndarray) -> np.ndarray:
     return data | (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] the polynomial hash of data[i:j], times the base to the power i."""
-    up, _ = POWERS.upto(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], from prefix_hash(data)."""
-    _, down = POWERS.upto(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each place, and the one after the last, the eight bytes from there on as a number, zeros beyond the end. A view that isn't aligned."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; different salts give independent ones.
+
+    Eight bytes at a time are stirred into what came before by a bijection, so
+    spans of one length up to eight bytes never share a hash, and no sum can
+    cancel as in a polynomial. Longer than LONG_SPAN: BLAKE2b.
+    """
+    size = (end - start).astype(np.int64)
+    h = mix(size.astype(np.uint64) ^ np.uint64((salt * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C55) & 0xFFFFFFFFFFFFFFFF))
+    many = np.flatnonzero(size > LONG_SPAN)
+    for i in many:
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    each = eights(data)
+    on = np.flatnonzero((size > 0) & (size <= LONG_SPAN)) if len(many) else np.flatnonzero(size > 0)
+    at, left, now = start[on], size[on], h[on]
+    while len(on):
+        now = mix(now ^ (each[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        done = ~more
+        h[on[done]] = now[done]
+        on, at, left, now = on[more], at[more] + 8, left[more] - 8, now[more]
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     for _, _, part, at in T.blocks(data, offsets):
         part = T.lower(part)
         start, end, first = T.words(part, at)
-        hashes.append(T.span_hash(T.prefix_hash(part), start, end))
+        hashes.append(T.span_hash(part, start, end))
         counts.append(np.diff(first))
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 

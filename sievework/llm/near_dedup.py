@@ -9,18 +9,21 @@ into one fixed bin each, which fills what is left. Two sets agree in a bin with
 the probability of their similarity. Bands of ROWS bins are buckets; sets that
 are 85 % alike meet in none of BANDS buckets with probability below 1e-8.
 
-Candidates are leaders of a bucket against its members, never all pairs: a
-round compares each bucket's leaders with the members that are not yet known to
-be connected to them, then a bucket whose members are all connected is done,
-and the others go on with new leaders, eight times as many, until a bucket has
-no member left that hasn't led. After the first leaders, sets with a rare
-element in common are compared by it, RARE to an element at most. A pair is
-passed over if the elements that the two can't have in common rule it out. Each other pair is confirmed on
-the full sets, so no link that the bands show is lost and none is false.
+Candidates are leaders of a bucket against its members: a round compares each
+bucket's leaders with the members that are not yet known to be connected to
+them, then a bucket whose members are all connected is done, and the others go
+on with new leaders, eight times as many, until a bucket has no member left
+that hasn't led. A set leaves its buckets when what no other set has rules out
+any link; after the first leaders, sets with a rare element in common are
+compared by it, RARE to an element at most, and such elements count as their
+own from then on. So sets meet in pairs only if nearly all they have is common
+and they still are not linked, and then once, in their first common bucket.
+Each pair is confirmed on the full sets, by two independent 64-bit hashes of
+each shingle, so no link that the bands show is lost and none is false.
 
 How the plan grows: shuffled are BANDS rows for each distinct set, the texts of
-those sets that share a bucket, and a pair for each member and leader. Large
-buckets are split by adaptive skew joins, as leaders are joined to members.
+those sets that share a bucket, and a pair for each member and leader. Rows of
+classes and components with very many rows are dealt out (_join.answered).
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._join import answered
 from ._store import release, stored
 from .components import components
 
@@ -45,27 +49,33 @@ _MULTIPLIERS = T.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, sorted within it, and bounds: text i has [bounds[i], bounds[i + 1])."""
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of the distinct shingles of each text, sorted within it by the first, and bounds: text i has [bounds[i], bounds[i + 1])."""
     data = T.lower(data)
     start, end, first = T.words(data, offsets)
-    h = T.span_hash(T.prefix_hash(data), start, end)
     count = np.diff(first)
     made = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     text = np.repeat(np.arange(len(count)), made)
     at = first[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(made) - made, made))
-    value = np.zeros(len(text), np.uint64)
     size = np.minimum(count, k)[text]
-    for j in range(k):
-        has = size > j
-        value[has] += h[at[has] + j] * _MULTIPLIERS[j]
-    value = T.mix(value + size.astype(np.uint64) * _MULTIPLIERS[k])
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
+    short = bool((size < k).any())
+    both = []
+    for lane in (0, 1):
+        h = T.span_hash(data, start, end, lane)
+        value = size.astype(np.uint64) * _MULTIPLIERS[k + lane]
+        for j in range(k):
+            if short:
+                has = size > j
+                value[has] += h[at[has] + j] * _MULTIPLIERS[j + 8 * lane]
+            else:
+                value += h[at + j] * _MULTIPLIERS[j + 8 * lane]
+        both.append(T.mix(value))
+    order = np.lexsort((both[0], text))
+    value, other, text = both[0][order], both[1][order], text[order]
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-    value, text = value[new], text[new]
-    return value, np.searchsorted(text, np.arange(len(count) + 1))
+    new[1:] = (value[1:] != value[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])
+    value, other, text = value[new], other[new], text[new]
+    return value, other, np.searchsorted(text, np.arange(len(count) + 1))
 
 
 def sketches(value: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -95,13 +105,13 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def class_keys(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """16 bytes that stand for a set: two sums of hashes of its elements."""
+def class_keys(value: np.ndarray, other: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """16 bytes that stand for a set: a sum of each of the two independent hashes of its elements."""
     out = np.zeros((len(bounds) - 1, 2), np.uint64)
     full = np.flatnonzero(np.diff(bounds))
-    for j, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
+    for j, (lane, salt) in enumerate(((value, 0x1F83D9ABFB41BD6B), (other, 0x5BE0CD19137E2179))):
         if len(full):
-            out[full, j] = T.mix(np.add.reduceat(T.mix(value ^ np.uint64(salt)), bounds[:-1][full]) + np.diff(bounds)[full].astype(np.uint64))
+            out[full, j] = T.mix(np.add.reduceat(T.mix(lane ^ np.uint64(salt)), bounds[:-1][full]) + np.diff(bounds)[full].astype(np.uint64))
     return out
 
 
@@ -114,12 +124,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = T.buffers(batch.column("text"))
         for i, j, part, at in T.blocks(data, offsets):
-            value, bounds = shingles(part, at)
+            value, other, bounds = shingles(part, at)
             n = np.diff(bounds)
             flat = bands(sketches(value, bounds))
             flat = flat[n > 0].reshape(-1)
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-            rows = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_shingles": pa.array(n, pa.int64()), "cls": _binary(class_keys(value, bounds), n > 0), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))}
+            rows = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_shingles": pa.array(n, pa.int64()), "cls": _binary(class_keys(value, other, bounds), n > 0), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))}
             yield pa.RecordBatch.from_pydict(rows)
 
 
@@ -127,10 +137,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = T.buffers(batch.column("text"))
         for _, _, part, at in T.blocks(data, offsets):
-            value, bounds = shingles(part, at)
-            keys = class_keys(value, bounds)
+            value, other, bounds = shingles(part, at)
+            keys = class_keys(value, other, bounds)
             halves = {f"key{j}": pa.array(np.ascontiguousarray(keys[:, j]).view(np.int64), pa.int64()) for j in (0, 1)}
-            yield pa.RecordBatch.from_pydict({"cls": _binary(keys, np.diff(bounds) > 0), "items": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64), pa.int64()))} | halves)
+            lists = {c: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.view(np.int64), pa.int64())) for c, x in (("items", value), ("others", other))}
+            yield pa.RecordBatch.from_pydict({"cls": _binary(keys, np.diff(bounds) > 0)} | lists | halves)
 
 
 def _own(sets: DataFrame) -> DataFrame:
@@ -148,6 +159,11 @@ def _rare(sets: DataFrame, most: int) -> DataFrame:
     return each.join(few, "item")
 
 
+def _linkable(n: Column, own: Column, percent: int) -> Column:
+    """Whether a set can be alike to any: at best to what is left of it without what no other has."""
+    return (n - own) * 100 >= n * percent
+
+
 def _possible(n: Column, own: Column, m: Column, other: Column, percent: int) -> Column:
     """Whether sets of sizes n and m can be alike, as what only one of them has is in no intersection."""
     both = F.least(n - own, m - other)
@@ -155,10 +171,14 @@ def _possible(n: Column, own: Column, m: Column, other: Column, percent: int) ->
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of classes whose whole sets are alike."""
-    x = sets.select(F.col("cls").alias("b"), F.col("items").alias("__y"))
-    y = sets.select(F.col("cls").alias("a"), F.col("items").alias("__x"))
-    both = F.size(F.array_intersect("__x", "__y"))
+    """Those of pairs (a, b) of classes whose whole sets are alike.
+
+    Elements count as common if they are in either of two independent hashes:
+    the smaller count is right unless both err at once (128 bits).
+    """
+    x = sets.select(F.col("cls").alias("b"), F.col("items").alias("__y"), F.col("others").alias("__v"))
+    y = sets.select(F.col("cls").alias("a"), F.col("items").alias("__x"), F.col("others").alias("__u"))
+    both = F.least(F.size(F.array_intersect("__x", "__y")), F.size(F.array_intersect("__u", "__v")))
     joined = pairs.join(x, "b").join(y, "a").select("a", "b", both.alias("__both"), (F.size("__x") + F.size("__y")).alias("__sum"))
     return joined.filter(F.col("__both") * 100 >= (F.col("__sum") - F.col("__both")) * percent).select("a", "b")
 
@@ -169,18 +189,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, cls binary, bands array<bigint>")
 
 
-def linked(docs: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
-    """(cls, comp): for each class that is linked to another, the smallest class it reaches."""
-    classes = signed.filter("n_shingles > 0").select("cls", "bands").dropDuplicates(["cls"])
+def classes_of(signed: DataFrame) -> DataFrame:
+    """(cls, one, copies, bands) for each class: its smallest doc_id, and how many rows it has."""
+    return signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+
+
+def linked(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
+    """(cls, comp): for each class that is linked to another, the smallest class it reaches; classes as of classes_of()."""
     members = classes.select("cls", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("__m")).filter("__m > 1").drop("__m")
     members = stored(members.join(buckets, "band"), "near-buckets")
     docs = docs.select("doc_id", "text")
-    chosen = signed.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    chosen = classes.join(members.select("cls").distinct(), "cls").select(F.col("one").alias("__id")).distinct()
     picked = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = picked.mapInArrow(_sets, "cls binary, items array<bigint>, key0 bigint, key1 bigint").filter("cls is not null").dropDuplicates(["cls"])
+    sets = picked.mapInArrow(_sets, "cls binary, items array<bigint>, others array<bigint>, key0 bigint, key1 bigint").filter("cls is not null").dropDuplicates(["cls"])
     sets = stored(sets, "near-sets")
-    members = stored(members.join(_own(sets), "cls"), "near-members")
+    members = stored(members.join(_own(sets), "cls").filter(_linkable(F.col("n"), F.col("own"), percent)), "near-members")
     links, shapes, comps, many = None, None, members.select("cls", F.col("cls").alias("comp")).limit(0), 1
     while True:
         named = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -195,7 +219,7 @@ def linked(docs: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
             kept.append("bands")
         if many > 1 and shapes is None:
             left = stored(named.select("cls").distinct(), "near-left")
-            shapes = stored(signed.join(left, "cls").select("cls", "bands").dropDuplicates(["cls"]), "near-shapes")
+            shapes = stored(classes.join(left, "cls").select("cls", "bands"), "near-shapes")
             # Sets with a rare element in common are compared at once, by that element; two others
             # then have none of their rare elements in common, which rules most of the rest out.
             rare = stored(_rare(sets.select("cls", "items").join(left, "cls", "left_semi"), RARE), "near-rare")
@@ -210,7 +234,8 @@ def linked(docs: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
                 links = found if links is None else links.union(found)
                 comps = components(links)
             counts = rare.groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("own"))
-            members = stored(named.select("band", "cls", "n").join(counts, "cls", "left").withColumn("own", F.coalesce("own", F.lit(0))), "near-rest")
+            rest = named.select("band", "cls", "n").join(counts, "cls", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            members = stored(rest.filter(_linkable(F.col("n"), F.col("own"), percent)), "near-rest")
             release(named, rare, left)
             continue
         # Those go first that share most of what they have: in a group of near copies the rest is linked through them.
@@ -248,22 +273,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs), "near-signed")
-    comps = linked(docs, signed, percent)
-    # Sums and joins by class or component stand in different stages, so that Spark may split a large one.
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("__id"))
-    classes = stored(classes.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-classes")
-    least = stored(classes.groupBy("comp").agg(F.min("__id").alias("__least")), "near-least")
-    names = stored(classes.join(least, "comp").select(F.col("cls").alias("__cls"), "__least"), "near-names")
-    out = signed.select("doc_id", "n_shingles", "cls").join(names, F.col("cls") == F.col("__cls"), "left")
+    names = _names(docs, signed, percent)
+    out = answered(signed.select("doc_id", "n_shingles", "cls"), names.drop("one"), {"cls": "__cls"})
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("__least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
 
 
+def _names(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(__cls, one, copies, __least): for each class its smallest doc_id, its rows, and the smallest doc_id of its component."""
+    # Sums and joins by class or component stand in different stages, so that Spark may split a large one.
+    classes = stored(classes_of(signed), "near-classes")
+    comps = linked(docs, classes, percent)
+    classes = stored(classes.select("cls", "one", "copies").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-named")
+    least = stored(classes.groupBy(F.col("comp").alias("__comp")).agg(F.min("one").alias("__least"), F.count(F.lit(1)).alias("__many")), "near-least")
+    return stored(answered(classes, least, {"comp": "__comp"}, "__many").select(F.col("cls").alias("__cls"), "one", "copies", "__least"), "near-names")
+
+
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, repeats of a kept row left out."""
+    signed = stored(signatures(docs.select("doc_id", "text")), "near-signed")
+    kept = _names(docs.select("doc_id", "text"), signed, percent).filter("one <=> __least").select(F.col("one").alias("__id"), F.col("__cls").alias("__c"))
     named = docs.mapInArrow(_named, T.schema_of(docs.schema, "__cls binary"))
-    marks = near_duplicates(docs, percent).filter("kept and cls is not null").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__c")).distinct()
-    full = named.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__cls") == F.col("__c")), "left_semi").dropDuplicates(["doc_id", "__cls"])
+    full = named.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__cls") == F.col("__c")), "left_semi").dropDuplicates(["doc_id", "__cls"])
     return full.unionByName(named.filter("__cls is null")).select(*docs.columns)
 
 
@@ -272,8 +303,8 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = T.buffers(batch.column("text"))
         found = []
         for _, _, part, at in T.blocks(data, offsets):
-            value, bounds = shingles(part, at)
-            found.append(_binary(class_keys(value, bounds), np.diff(bounds) > 0))
+            value, other, bounds = shingles(part, at)
+            found.append(_binary(class_keys(value, other, bounds), np.diff(bounds) > 0))
         yield T.with_columns(batch, {"__cls": pa.concat_arrays(found) if found else pa.array([], pa.binary())})
 
 

@@ -55,7 +55,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, column] = share(group) / some
     out[:, 8], out[:, 9] = share(_LINE) / any_, share(_STOP) / any_
     text = np.repeat(np.arange(n), np.diff(first))
-    h = T.span_hash(T.prefix_hash(T.lower(data)), start, end)
+    h = T.span_hash(T.lower(data), start, end)
     out[:, 2] = np.bincount(text, end - start, n) / any_
     out[:, 13] = np.bincount(text, (kind[end - 1] == _SYMBOL) | (kind[end - 1] == _PIPE), n) / any_
     same = (h[1:] == h[:-1]) & (text[1:] == text[:-1])

@@ -2,7 +2,8 @@
 
 For a block of texts: words are the runs that no piece can cross; the distinct
 ones are exploded into their substrings of bounded length; these are joined by
-hash to the piece table, which gives the lattice's edges (start, length, piece);
+hash to the piece table and held against the piece's characters, which gives the
+lattice's edges (start, length, piece); words count as equal by characters too;
 the edges of a word, as a table by start and length, are folded into its pieces;
 and the words' pieces are joined back to the texts. All words of a block go
 through each step at once, as arrays.
@@ -55,10 +56,17 @@ class Pieces:
         chars = "".join(self.text[i] for i in ids)
         size = np.array([len(self.text[i]) for i in ids])
         ends = np.cumsum(size)
-        prefix = T.prefix_hash(codes(chars))
-        key = T.span_hash(prefix, ends - size, ends)
+        self.longest = int(size.max())
+        self.chars, self.first = codes(chars), np.zeros(len(self.text), np.int64)
+        self.first[ids] = ends - size
+        key = np.zeros(len(ids), np.uint64)
+        for k in range(self.longest):
+            on = size > k
+            key[on] = T.mix(key[on] ^ self.chars[(ends - size)[on] + k].astype(np.uint64))
         order = np.argsort(key)
-        self.key, self.id, self.longest = key[order], ids[order].astype(np.int32), int(size.max())
+        self.key, self.id = key[order], ids[order].astype(np.int32)
+        if len(np.unique(key)) < len(key):
+            raise ValueError("two pieces of the model have the same hash")
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.key >> np.uint64(42)).astype(np.int64)] = True
         # A lower rank is a better score; equal scores rank by id.
@@ -70,12 +78,17 @@ class Pieces:
         self.joining[[ord(c) for c in inner]] = True
         self.by_rank = rank.astype(np.int32)
 
-    def lookup(self, key: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1."""
+    def lookup(self, key: np.ndarray, chars: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
+        """The piece that is chars[where : where + k], whose hash is key, or -1. What has a piece's hash is held against its characters."""
         out = np.full(len(key), -1, np.int32)
         hit = np.flatnonzero(self.maybe[(key >> np.uint64(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
-        out[hit] = np.where(self.key[at] == key[hit], self.id[at], -1)
+        same = self.key[at] == key[hit]
+        hit, found = hit[same], self.id[at[same]]
+        right = np.ones(len(hit), bool)
+        for j in range(k):
+            right &= chars[where[hit] + j] == self.chars[np.minimum(self.first[found] + j, len(self.chars) - 1)]
+        out[hit[right]] = found[right]
         return out
 
 
@@ -99,17 +112,18 @@ def load(path: str = MODEL) -> Pieces:
 
 def edges(chars: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> np.ndarray:
     """At [i, k] the rank of the piece that is chars[i : i + k + 1], within the word of i, or _NONE."""
-    prefix = T.prefix_hash(chars)
     word_end = np.zeros(len(chars), np.int64)
     word_end[start] = end
     word_end = np.maximum.accumulate(word_end)
     out = np.full((len(chars), pieces.longest), _NONE, np.int32)
-    at = np.arange(len(chars))
+    at, key = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
     for k in range(1, pieces.longest + 1):
-        at = at[at + k <= word_end[at]]
+        inside = at + k <= word_end[at]
+        at, key = at[inside], key[inside]
         if not len(at):
             break
-        found = pieces.lookup(T.span_hash(prefix, at, at + k))
+        key = T.mix(key ^ chars[at + k - 1].astype(np.uint64))
+        found = pieces.lookup(key, chars, at, k)
         hit = found >= 0
         out[at[hit], k - 1] = pieces.rank[found[hit]]
     return out
@@ -200,6 +214,29 @@ def _viterbi(lattice: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pi
     return size
 
 
+def distinct(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the different words among chars[start:end], and for each word which of them it is; characters decide, not hashes."""
+    raw = chars.view(np.uint8)
+    key = T.span_hash(raw, start * 4, end * 4)
+    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    size = end - start
+    other = size != size[one][which]
+    each, k, on = T.eights(raw), 0, np.flatnonzero(~other & (one[which] != np.arange(len(start))))
+    while len(on):
+        a, b = start[on] + k, start[one[which[on]]] + k
+        last = k + 1 == size[on]
+        differ = np.where(last, chars[a] != chars[b], each[a * 4] != each[b * 4])
+        other[on[differ]] = True
+        k += 2
+        on = on[~differ & (size[on] > k)]
+    for i in np.flatnonzero(other):  # words that share a hash with another one
+        match = [j for j in range(len(one)) if key[one[j]] == key[i] and size[one[j]] == size[i] and (chars[start[one[j]] : end[one[j]]] == chars[start[i] : end[i]]).all()]
+        if not match:
+            match, one = [len(one)], np.append(one, i)
+        which[i] = match[0]
+    return one, which
+
+
 def encode_words(chars: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words chars[start:end], in a row, and how many each has."""
     lattice = edges(chars, start, end, pieces)
@@ -236,8 +273,7 @@ def encode(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, np.ndar
     begin[np.append(0, ends)] = True
     bounds = np.flatnonzero(begin)
     start, end = bounds[:-1], bounds[1:]
-    key = T.span_hash(T.prefix_hash(chars), start, end)
-    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    one, which = distinct(chars, start, end)
     one_start, one_size = start[one], (end - start)[one]
     slices = np.searchsorted(np.cumsum(one_size), np.arange(SLICE, one_size.sum() + SLICE, SLICE), "right")
     ids, counts = [], []

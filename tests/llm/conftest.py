@@ -50,3 +50,16 @@ def sf(name: str) -> str:
     if not Path(path).exists():
         pytest.skip("needs the test tables")
     return path
+
+
+def alike_to_a_polynomial(kind: str = "text") -> list[str]:
+    """Pairs that differ at all 1,024 places and that no polynomial modulo 2^64 tells apart: the Thue-Morse word over random text, and its complement."""
+    import random
+
+    r = random.Random(3)
+    bit = [bin(i).count("1") % 2 for i in range(1024)]
+    base = [r.randrange(97, 120, 2) for _ in bit]
+    out = ["".join(chr(c + (b ^ flip)) for c, b in zip(base, bit, strict=True)) for flip in (0, 1)]
+    if kind == "words":
+        out = [" ".join(x[i : i + 8] for i in range(0, 1024, 8)) for x in out]
+    return out

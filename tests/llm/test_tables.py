@@ -5,7 +5,7 @@ import hashlib
 import brute
 import numpy as np
 import pytest
-from conftest import sf
+from conftest import alike_to_a_polynomial, sf
 from pyspark.sql import functions as F
 
 from sievework.llm import components, mixing, near_dedup, neighbours, repeats
@@ -102,6 +102,29 @@ def test_chains_and_groups_of_near_copies(spark):
         assert near(near_dedup.near_duplicates(docs, percent)) == brute.near(rows, percent)
 
 
+def test_texts_that_polynomials_take_for_equal_are_not_linked(spark):
+    rows = list(enumerate([*alike_to_a_polynomial("words"), *alike_to_a_polynomial(), *alike_to_a_polynomial("words")[:1]]))
+    got = near(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == brute.near(rows) and got[1][1] == 1 and got[4][1] == 0
+
+
+def test_sets_that_can_not_be_linked_leave_their_buckets(spark, monkeypatch):
+    """2,000 sets, half of each common to all: thousands share a bucket, and none is compared."""
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, *(f"o{i}x{j}" for j in range(60))])) for i in range(2000)]
+    asked, real = [], near_dedup.confirmed
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shared = near_dedup.classes_of(near_dedup.signatures(docs)).select(F.explode("bands").alias("band")).groupBy("band").count().agg(F.max("count")).first()[0]
+    assert near(near_dedup.near_duplicates(docs)) == {i: (116, i, True) for i, _ in rows}
+    assert shared > 20 and sum(asked) < 2000
+
+
 def test_near_copies_in_odd_tables(spark, docs, rows, crowded, empty):
     got = near(near_dedup.near_duplicates(docs))
     want = brute.near([(r[0], r[1]) for r in rows if r[0] is not None and r != rows[6]] + [(rows[6][0], rows[6][1])])
@@ -149,6 +172,26 @@ def test_repeats_in_odd_texts(spark, group):
     assert got == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("group", [repeats.GROUP, 2])
+def test_texts_that_polynomials_take_for_equal_are_no_repeats(spark, group):
+    a, b = alike_to_a_polynomial()
+    rows = list(enumerate([a, b, "x" + a[:300], b[300:700] + "y", a]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: tuple(x)[1:5] for x in repeats.without_repeats(docs, group=group).collect()}
+    assert got == brute.repeats(rows) and got[1][1] == 400
+
+
+def test_large_groups_are_dealt_out_until_they_fit(spark):
+    """One passage in 60 contexts that all differ: the expansion decides them in groups of 4 at most."""
+    r = np.random.default_rng(8)
+    word = lambda n: "".join(r.choice(list("abcdefgh"), n))
+    passage = word(230)
+    rows = [(i, word(100) + passage[: 205 + i % 20] + word(150)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: tuple(x)[1:5] for x in repeats.without_repeats(docs, group=4).collect()}
+    assert got == brute.repeats(rows) and all(x[1] >= 205 for x in got.values())
+
+
 def test_repeats_in_odd_tables(spark, docs, crowded, empty):
     rows = repeats.without_repeats(docs).collect()
     assert len(rows) == docs.count() and repeats.without_repeats(crowded).count() == docs.count() and repeats.without_repeats(empty).count() == 0
@@ -226,6 +269,17 @@ def test_neighbours_of_odd_vectors(spark):
 # Tables between steps, and the pipeline
 
 
+def test_answers_of_hot_keys_are_dealt_out(spark):
+    from sievework.llm._join import HOT, answered
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    answers = rows.filter("k is not null").groupBy(F.col("k").alias("name")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    got = answered(rows, answers, {"k": "name"}).collect()
+    assert len(got) == 6000 and all(r.least == (None if r.k is None else 0 if r.k == "hot" else r.id) for r in got)
+    assert answered(rows, answers, {"k": "name"}, how="inner").count() == 4000
+    assert answered(rows, answers.limit(0), {"k": "name"}).count() == 6000 and HOT < 2000
+
+
 def test_stored_tables_keep_rows_and_types(spark, docs):
     back = stored(docs, "test")
     assert back.schema == docs.schema and back.count() == docs.count() and back.stored_at.startswith(spark.conf.get("spark.checkpoint.dir"))
