@@ -7,7 +7,7 @@ A word is a longest run of bytes other than space and bytes 9 to 13.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,13 @@ def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator
         at = end
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows at most."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A to Z in lower case; all else as it is."""
     return data | (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)

@@ -38,7 +38,7 @@ from .quality import fit_quality, score_quality
 
 MASS = 8.0
 #: Bytes of text in a block, and for each part.
-BLOCK, PART = 1 << 23, 1 << 23
+BLOCK, PART = 1 << 24, 1 << 23
 #: What stands before a text's first word.
 START = np.uint64(1)
 _ADDED = ("n_tokens", "target_loss", "background_loss", "lm_score")
@@ -74,8 +74,29 @@ def pair_keys(words: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np
     return before, T.mix(T.mix(words)[before] * np.uint64(3) + words[ids])
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """pack() of the steps between sorted numbers."""
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def pack_ids(ids: np.ndarray, words: int) -> dict[str, bytes]:
+    """ids as ranks by how often each of the words occurs, frequent ones first, which are short; and how often that is."""
+    often = np.bincount(ids, minlength=words)
+    rank = np.empty(words, np.uint32)
+    rank[np.argsort(-often, kind="stable")] = np.arange(words, dtype=np.uint32)
+    return {"ids": pack(rank[ids]), "often": pack(often.astype(np.uint32))}
+
+
+def unpack_ids(row: dict) -> np.ndarray:
+    return np.argsort(-unpack(row["often"], np.uint32).astype(np.int64), kind="stable").astype(np.uint32)[unpack(row["ids"], np.uint32)]
+
+
 _COUNTS = ("pair_n", "pair_t", "word_n", "word_t", "first_n", "first_t")
-_BLOCK = "block bigint, counted boolean, asked boolean, rows binary, words binary, first binary, marks binary, ids binary"
+_BLOCK = "block bigint, counted boolean, asked boolean, rows binary, words binary, first binary, marks binary, ids binary, often binary"
 _SENT = "block bigint, part int, pairs binary, words binary, " + ", ".join(f"{c} binary" for c in _COUNTS)
 
 
@@ -93,7 +114,7 @@ def _blocks(counted: bool, asked: bool, keep: list[str]):
                 kept = batch.slice(i, j - i).select(keep)
                 with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(kept)
-                packed = {"rows": sink.getvalue().to_pybytes(), "words": pack(words), "first": pack(first), "marks": pack(marks[i:j]), "ids": pack(ids[:-1].astype(np.uint32))}
+                packed = {"rows": sink.getvalue().to_pybytes(), "words": pack_sorted(words), "first": pack(first), "marks": pack(marks[i:j])} | pack_ids(ids[:-1], len(words))
                 row = {"block": int.from_bytes(os.urandom(8), "little") >> 1, "counted": counted, "asked": asked} | packed
                 yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary() if isinstance(v, bytes) else None) for k, v in row.items()})
 
@@ -106,7 +127,7 @@ def _requests(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch))):
-            words, ids, first = unpack(row["words"], np.uint64), unpack(row["ids"], np.uint32), unpack(row["first"], np.int64)
+            words, ids, first = unpack_sorted(row["words"]), unpack_ids(row), unpack(row["first"], np.int64)
             target = np.repeat(unpack(row["marks"], np.uint8).astype(bool), np.diff(first))
             before, key = pair_keys(words, ids, first)
             pairs, which = np.unique(key, return_inverse=True)
@@ -119,7 +140,7 @@ def _requests(parts: int):
             for p in range(parts):
                 a, b = (slice(c[p], c[p + 1]) for c in cuts)
                 if a.start < a.stop or b.start < b.stop:
-                    out.append({"block": row["block"] if row["asked"] else -1, "part": p, "pairs": pack(pairs[a]), "words": pack(words[b])} | {n: pack(x[a if n.startswith("pair") else b]) for n, x in counts.items()})
+                    out.append({"block": row["block"] if row["asked"] else -1, "part": p, "pairs": pack_sorted(pairs[a]), "words": pack_sorted(words[b])} | {n: pack(x[a if n.startswith("pair") else b]) for n, x in counts.items()})
             for s in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist(out[s : s + 64], schema=schema)
 
@@ -139,7 +160,7 @@ def _answers(table: pa.Table) -> pa.Table:
     blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
     found, cuts, own = {}, {}, None
     for name, sums in (("pairs", _COUNTS[:2]), ("words", _COUNTS[2:])):
-        keys = [unpack(x.as_py(), np.uint64) for x in table.column(name)]
+        keys = [unpack_sorted(x.as_py()) for x in table.column(name)]
         cuts[name] = np.append(0, np.cumsum([len(k) for k in keys]))
         one, which = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
@@ -168,7 +189,7 @@ def _parts(*texts: DataFrame) -> int:
 
 
 def _summed(blocks: DataFrame, parts: int) -> DataFrame:
-    asks = blocks.select("block", "counted", "asked", "words", "first", "marks", "ids").mapInArrow(_requests(parts), _SENT)
+    asks = blocks.select("block", "counted", "asked", "words", "first", "marks", "ids", "often").mapInArrow(_requests(parts), _SENT)
     return stored(asks.groupBy("part").applyInArrow(_answers, _ANSWER), "lm-answers")
 
 
@@ -218,7 +239,7 @@ def _losses(words: int, tokens: dict[str, int]):
         answers = answers.sort_by("at")
         got = {c: np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), np.int64) for x in answers.column(c))]) for c in _COUNTS}
         row = docs.to_pylist()[0]
-        known, ids, first = unpack(row["words"], np.uint64), unpack(row["ids"], np.uint32), unpack(row["first"], np.int64)
+        known, ids, first = unpack_sorted(row["words"]), unpack_ids(row), unpack(row["first"], np.int64)
         before, key = pair_keys(known, ids, first)
         pair = np.unique(key, return_inverse=True)[1]
         n = np.diff(first)
@@ -236,7 +257,7 @@ def _scored(blocks: DataFrame, parts: int, fields: list) -> DataFrame:
     answers = _summed(blocks, parts)
     sweep(blocks.sparkSession)
     words, n, t = _totals(answers)
-    docs = blocks.filter("asked").select("block", "rows", "words", "first", "ids").groupBy("block")
+    docs = blocks.filter("asked").select("block", "rows", "words", "first", "ids", "often").groupBy("block")
     asked = answers.filter("answer_to is not null").select("answer_to", "at", *_COUNTS).groupBy("answer_to")
     return docs.cogroup(asked).applyInArrow(_losses(words, {"n": n, "t": t}), T.schema_of(fields, "n_tokens bigint", "target_loss double", "background_loss double", "lm_score double"))
 

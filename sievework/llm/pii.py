@@ -41,6 +41,8 @@ WINDOW, STRIDE, MARGIN = 64, 32, 24
 #: At most so many windows of the corpus are taken for the fit, out of about so many documents, and so many with rewritten spans.
 FIT_WINDOWS, FIT_DOCS, FIT_WRITTEN = 1536, 20_000, 2304
 HIDDEN, EMBEDDED, EPOCHS, BATCH, RATE = 20, 10, 10, 96, 0.03
+#: Documents that are tagged at once.
+DOCS = 1024
 #: The mean marginal of its tags from which a span of the tagger counts.
 SURE = 0.8
 
@@ -437,7 +439,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None, fit: bool = True) ->
     tagger = fit_tagger(docs) if tagger is None and fit else tagger
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.small(batches, DOCS):
             both = tagged([t or "" for t in batch.column("text").to_pylist()], tagger)
             yield T.with_columns(batch, {"base_spans": pa.array([written(b) for b, _ in both], pa.string()), "spans": pa.array([written(b + a) for b, a in both], pa.string())})
 
@@ -459,7 +461,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     tagger = fit_tagger(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.small(batches, DOCS):
             texts = batch.column("text").to_pylist()
             found = tagged([t or "" for t in texts], tagger)
             yield T.with_columns(batch, {"text": pa.array([None if t is None else redact(t, b + a) for t, (b, a) in zip(texts, found, strict=True)], pa.string())})
