@@ -32,14 +32,25 @@ UNHANDLED = "unhandled-exception"
 
 @dataclass(frozen=True)
 class JdbcClient:
-    """A named database; its tables are read by Spark's JDBC source."""
+    """A named database; its tables are read by Spark's JDBC source.
+
+    split names, for large tables, a whole-number or date column with its least
+    and greatest value, and the number of connections that read its ranges at
+    once: {table: (column, least, greatest, connections)}. Columns that a lookup
+    doesn't use aren't read, and filters go to the database.
+    """
 
     name: str
     url: str
     properties: Mapping[str, str] = field(default_factory=dict)
+    split: Mapping[str, tuple[str, int | str, int | str, int]] = field(default_factory=dict)
 
     def table(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.jdbc(self.url, table, properties=dict(self.properties))
+        properties = dict(self.properties)
+        if table not in self.split:
+            return spark.read.jdbc(self.url, table, properties=properties)
+        column, least, greatest, connections = self.split[table]
+        return spark.read.jdbc(self.url, table, column=column, lowerBound=least, upperBound=greatest, numPartitions=connections, properties=properties)
 
 
 def _clients(clients: Sequence[JdbcClient]) -> Callable[[SparkSession, str, str], DataFrame]:
@@ -64,8 +75,9 @@ class Pipeline:
     malformed: str = R.FAIL
 
     @staticmethod
-    def of(config: str | dict, creators: Sequence[C.Creator] = (), **more: Any) -> Pipeline:
-        return Pipeline(C.parse(config, creators), **more)
+    def of(config: str | dict, creators: Sequence[C.Creator] = (), checkers: Mapping[str, C.Checker] | None = None, **more: Any) -> Pipeline:
+        """checkers: predicates of the user's for check actions, by the op that names them."""
+        return Pipeline(C.parse(config, creators, checkers), **more)
 
     def _start(self, state: State) -> State:
         return replace(state, scratch={k: Slot(True, F.lit(v)) for k, v in self.scratch.items()}, joined={"clients": _clients(self.clients)})

@@ -182,19 +182,33 @@ def _(a: C.Lookup, state: State, g: Guard) -> State:
 
 @apply.register
 def _(a: C.JdbcLookup, state: State, g: Guard) -> State:
-    """One row with no null among the selected columns is a hit. The join is here, as keys may be values of earlier actions."""
-    table = state.joined["clients"](state.df.sparkSession, a.client, a.table)
+    """One row with no null among the selected columns is a hit. The join is here, as keys may be values of earlier actions.
+
+    A condition beyond equal keys is answered for the different combinations of
+    the values that it refers to, and these are joined back as keys: so records
+    meet answers by equality, and only combinations meet rows by the condition,
+    which Spark does by hash for the equalities in it and by a nested loop
+    without any.
+    """
     n = state.serial
-    names = {c: f"__j{n}_{i}" for i, c in enumerate(a.select)}
-    keys = [F.col(c).cast("string").alias(f"__k{n}_{i}") for i, (c, _) in enumerate(a.keys)]
-    rows = table.select(*keys, *[F.col(c).cast("string").alias(names[c]) for c in a.select])
-    rows = rows.groupBy(*[f"__k{n}_{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias(f"__n{n}"), *[F.min(x).alias(x) for x in names.values()])
     state = replace(state, serial=n + 1)
-    conditions = []
-    for i, (_, s) in enumerate(a.keys):
+    names = {c: f"__j{n}_{i}" for i, c in enumerate(a.select)}
+    asked = []
+    for s in [s for _, s in a.keys] or a.values:
         slot = state.slot(s)
         state, key = state.column("q", F.when(as_column(slot.there), slot.value))
-        conditions.append(key == F.col(f"__k{n}_{i}"))
+        asked.append(key)
+    cells = [F.col(c).cast("string").alias(names[c]) for c in a.select]
+    table = state.joined["clients"](state.df.sparkSession, a.client, a.table)
+    if a.keys:
+        rows = table.select(*[F.col(c).cast("string").alias(f"__k{n}_{i}") for i, (c, _) in enumerate(a.keys)], *cells)
+    else:
+        values = [f"__k{n}_{i}" for i in range(len(asked))]
+        known = state.df.select(*[k.alias(v) for k, v in zip(asked, values, strict=True)]).distinct()
+        rows = known.join(table, F.expr(a.condition.format(*values))).select(*values, *cells)
+    rows = rows.groupBy(*[f"__k{n}_{i}" for i in range(len(asked))]).agg(F.count(F.lit(1)).alias(f"__n{n}"), *[F.min(x).alias(x) for x in names.values()])
+    same = (lambda x, y: x == y) if a.keys else (lambda x, y: x.eqNullSafe(y))
+    conditions = [same(key, F.col(f"__k{n}_{i}")) for i, key in enumerate(asked)]
     state = replace(state, df=state.df.join(rows, conditions, "left"))
     count = F.coalesce(F.col(f"__n{n}"), F.lit(0))
     whole = F.lit(True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.convert import text_to_double, trimmed
 from ..plans import config as C
 from ..plans import source as A
-from ..plans.state import Guard, State, as_column, both, negated
+from ..plans.state import Guard, Slot, State, as_column, both, negated
 
 
 def numeric(state: State, name: str, numbers: bool = False) -> Guard:
@@ -23,8 +23,16 @@ def is_true(state: State, name: str) -> Guard:
     return both(F.coalesce(F.lower(s.value) == "true", F.lit(False)), state.records.is_string(name))
 
 
+def true_checker(left: Slot, right: Slot | None) -> Guard:
+    """A checker: whether a field is the text "true" in any case."""
+    return both(left.there, F.lower(left.value) == "true")
+
+
 def predicate(a: C.Check, state: State) -> Guard:
     s = state.slot(a.left)
+    if a.test is not None:
+        found = a.test(s, None if a.right is None else state.slot(a.right))
+        return found if isinstance(found, bool) else F.coalesce(found, F.lit(False))
     if a.op in ("empty", "not-empty", "non-empty"):
         empty = F.coalesce(s.value, F.lit("")) == "" if s.there is not False else True
         if not isinstance(s.there, bool):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -23,6 +23,10 @@ from .source import Source
 UNARY = ("empty", "not-empty", "non-empty", "numeric", "non-numeric", "null", "non-null")
 
 
+#: A predicate over the slots of one or two fields (the second is None for one): a column or a bool; null counts as false.
+Checker = Callable[[Any, Any], Any]
+
+
 @dataclass(frozen=True)
 class Node:
     """Base of all actions."""
@@ -65,6 +69,8 @@ class Check(Node):
     explicit: bool
     on_pass: tuple[Node, ...]
     on_fail: tuple[Node, ...]
+    #: A predicate of the user's, for an op that isn't built in.
+    test: Checker | None = None
 
     def branches(self):
         return self.on_pass, self.on_fail
@@ -89,7 +95,11 @@ class JdbcLookup(Node):
     client: str
     select: tuple[str, ...]
     table: str
+    #: Columns that must equal a value, where the condition is no more than that.
     keys: tuple[tuple[str, Source], ...]
+    #: Any other condition: SQL over the table's columns in which {i} stands for the i-th of values.
+    condition: str | None
+    values: tuple[Source, ...]
     on_pass: tuple[Node, ...]
     on_fail: tuple[Node, ...]
 
@@ -176,9 +186,26 @@ def _object(config: Any, what: str) -> dict:
     return config
 
 
+def _where(where: str, what: str) -> tuple[tuple[tuple[str, Source], ...], str | None, tuple[Source, ...]]:
+    """Keys alone if the condition is column = 'value', joined by and; otherwise the condition with its values taken out."""
+    parts = [re.fullmatch(r"\s*([A-Za-z_][\w.]*)\s*=\s*'([^']*)'\s*", x) for x in re.split(r"(?i)\s+and\s+", where)]
+    if all(parts):
+        return tuple((m[1], Source.parse(m[2], A.CONSTANT)) for m in parts if m), None, ()
+    values: list[Source] = []
+
+    def taken(m: re.Match) -> str:
+        values.append(Source.parse(m[1] or m[2]))
+        return f"{{{len(values) - 1}}}"
+
+    condition = re.sub(r"'(\$\w+\.[^'.]+)'|(\$\w+\.\w+)", taken, where.replace("{", "{{").replace("}", "}}"))
+    if not values:
+        raise ConfigError(f"{what}: where must refer to a value of the record, as in column = '$location.field': {where!r}")
+    return (), condition, tuple(values)
+
+
 class Parser:
-    def __init__(self, creators: Sequence[Creator] = ()) -> None:
-        self.creators = creators
+    def __init__(self, creators: Sequence[Creator] = (), checkers: Mapping[str, Checker] | None = None) -> None:
+        self.creators, self.checkers = creators, checkers or {}
         self.built_in: dict[str, Callable[[Any, str], Node]] = {
             "add-enriched-field": self._add_fields,
             "add-enriched-fields": self._add_fields,
@@ -266,6 +293,10 @@ class Parser:
         explicit = side is not None or isinstance(left, str) and left.startswith("$")
         one = Source.parse(left, A.location(side, A.ENRICHED_THEN_INPUT))
         on_pass, on_fail = self._branches(c, what, True)
+        if op in self.checkers:
+            right = c.get("right")
+            other = None if right is None else Source.parse(right, A.location(c.get("rightSource"), A.ENRICHED_THEN_INPUT))
+            return Check(op, one, other, _flag(c, "caseSensitive", True, what), explicit, on_pass, on_fail, self.checkers[op])
         if c.get("right") is None:
             if op not in UNARY:
                 raise ConfigError(f"{what}: no such op for one field: {op!r}")
@@ -283,14 +314,10 @@ class Parser:
 
     def _jdbc(self, c: Any, what: str) -> Node:
         c = _object(c, what)
-        keys = []
-        for part in re.split(r"(?i)\s+and\s+", _text(c, "where", what).strip()):
-            m = re.fullmatch(r"\s*([A-Za-z_][\w.]*)\s*=\s*'([^']*)'\s*", part)
-            if not m:
-                raise ConfigError(f"{what}: where must be column = '$location.field', joined by and: {part!r}")
-            keys.append((m[1], Source.parse(m[2], A.CONSTANT)))
+        where = _text(c, "where", what).strip()
         on_pass, on_fail = self._branches(c, what, True)
-        return JdbcLookup(_text(c, "jdbcClient", what), _texts(c.get("select"), what), _text(c, "fromDBTable", what), tuple(keys), on_pass, on_fail)
+        keys, condition, values = _where(where, what)
+        return JdbcLookup(_text(c, "jdbcClient", what), _texts(c.get("select"), what), _text(c, "fromDBTable", what), keys, condition, values, on_pass, on_fail)
 
     def _reject(self, c: Any, what: str) -> Node:
         c = _object(c, what)
@@ -317,5 +344,5 @@ class Parser:
         return SearchReplace(_texts(c.get("inputSource"), what), c["searchFor"], c["replaceWith"])
 
 
-def parse(config: str | dict, creators: Sequence[Creator] = ()) -> Program:
-    return Parser(creators).program(config)
+def parse(config: str | dict, creators: Sequence[Creator] = (), checkers: Mapping[str, Checker] | None = None) -> Program:
+    return Parser(creators, checkers).program(config)

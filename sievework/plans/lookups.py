@@ -48,8 +48,10 @@ def read_table(spark: SparkSession, need: Requirement, tables: Mapping[str, Data
     elif need.file:
         df = spark.read.json(need.file)
         df.createOrReplaceTempView(need.table.replace(".", "_"))
-    else:
+    elif spark.catalog.tableExists(need.table):
         df = spark.table(need.table)
+    else:
+        raise ConfigError(f"no such table: {need.table!r}; give it with tables, in the catalog, or as a file")
     gone = [c for c in need.columns if c not in df.columns]
     if gone:
         raise ConfigError(f"table {need.table!r} has no columns {gone}")

@@ -27,20 +27,24 @@ def json_state(df: DataFrame, malformed: str = FAIL, kinds: bool = False) -> Sta
     """Records from a column value of JSON objects: a map of strings, null for JSON null, structures as compact JSON.
 
     kinds also finds which fields hold JSON text, at the price of a second parse.
+    Other columns of df are left out.
     """
-    raw = F.col("value")
-    df = df.withColumn("__parsed", F.from_json(raw, "map<string,string>"))
-    parsed = F.col("__parsed")
-    bad = parsed.isNull() & raw.isNotNull()
-    if malformed == FAIL:
-        parsed = F.when(bad, F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(raw, 1, 200)))).otherwise(parsed)
-    df = df.select("*", F.coalesce(parsed.cast("map<string,string>"), F.create_map().cast("map<string,string>")).alias("__input"), bad.alias("__bad"))
+    raw = F.col("__line")
+    parsed = F.from_json(raw, "map<string,string>")
+    named = [F.coalesce(parsed, F.create_map().cast("map<string,string>")).alias("input"), (parsed.isNull() & raw.isNotNull()).alias("bad")]
     if kinds:
         typed = F.from_json(raw, "map<string,variant>")
-        names = F.map_keys(F.map_filter(typed, lambda _, v: F.schema_of_variant(v) == "STRING"))
-        df = df.withColumn("__strings", names)
+        named.append(F.map_keys(F.map_filter(typed, lambda _, v: F.schema_of_variant(v) == "STRING")).alias("strings"))
+    # An explode of one element, so that no use of a field parses the line again.
+    df = df.select(F.col("value").alias("__line")).select("__line", F.explode(F.array(F.struct(*named))).alias("__record"))
+    message = F.concat(F.lit("not a JSON object: "), F.substring(raw, 1, 200))
+    record = F.col("__record.input")
+    if malformed == FAIL:
+        record = F.when(F.col("__record.bad"), F.raise_error(message)).otherwise(record)
+    fields = [record.alias("__input"), F.col("__record.bad").alias("__bad")]
+    df = df.select("__line", *fields, *([F.col("__record.strings").alias("__strings")] if kinds else []))
     state = State(df, Records())
-    return state if malformed == FAIL else state.fail(F.coalesce(F.col("__bad"), F.lit(False)), F.concat(F.lit("not a JSON object: "), F.substring(raw, 1, 200)))
+    return state if malformed == FAIL else state.fail(F.col("__bad"), message)
 
 
 def table_state(df: DataFrame) -> State:

@@ -248,3 +248,26 @@ def test_random_configurations_against_the_interpreter(spark, seed):
     want = [w for w in (process(config, x, {"dim": dim}) for x in records) if w[0]]
     key = lambda x: json.dumps(x, sort_keys=True)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_a_line_is_parsed_once(spark):
+    from sievework import queries
+
+    events = "/root/testdata/sf0.001"
+    if not __import__("pathlib").Path(events).exists():
+        pytest.skip("needs the test tables")
+    for name in ("exception_handler", "json_lines"):
+        plan = queries.QUERIES[name](spark, events)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, name
+
+
+def test_conditions_of_jdbc_lookups():
+    from sievework.plans import config as C
+
+    def parsed(where):
+        return C.parse(items([act("jdbc-lookup", {"jdbcClient": "c", "select": ["a"], "fromDBTable": "t", "where": where, "onPass": [ADD]})])).items[0].actions[0]
+
+    plain = parsed("a = '$input.x' AND b = 'constant'")
+    assert [k for k, _ in plain.keys] == ["a", "b"] and plain.condition is None
+    wide = parsed("a > '$input.x' or upper(b) in ('{', $enriched.y)")
+    assert wide.keys == () and wide.condition == "a > {0} or upper(b) in ('{{', {1})" and [(v.location, v.name) for v in wide.values] == [("input", "x"), ("enriched", "y")]

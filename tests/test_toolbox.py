@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from sievework import queries
+from sievework import more_queries, queries  # noqa: F401
 from sievework.engine import AUTO_COPIED, Pipeline
 from sievework.errors import ConfigError
 from sievework.functions import schema as sch
