@@ -30,19 +30,19 @@ def json_state(df: DataFrame, malformed: str = FAIL, kinds: bool = False) -> Sta
     Other columns of df are left out.
     """
     raw = F.col("__line")
-    parsed = F.from_json(raw, "map<string,string>")
-    named = [F.coalesce(parsed, F.create_map().cast("map<string,string>")).alias("input"), (parsed.isNull() & raw.isNotNull()).alias("bad")]
+    named = [F.from_json(raw, "map<string,string>").alias("input")]
     if kinds:
         typed = F.from_json(raw, "map<string,variant>")
         named.append(F.map_keys(F.map_filter(typed, lambda _, v: F.schema_of_variant(v) == "STRING")).alias("strings"))
     # An explode of one element, so that no use of a field parses the line again.
     df = df.select(F.col("value").alias("__line")).select("__line", F.explode(F.array(F.struct(*named))).alias("__record"))
     message = F.concat(F.lit("not a JSON object: "), F.substring(raw, 1, 200))
-    record = F.col("__record.input")
+    parsed = F.col("__record.input")
+    bad = parsed.isNull() & raw.isNotNull()
+    record = F.coalesce(parsed, F.create_map().cast("map<string,string>"))
     if malformed == FAIL:
-        record = F.when(F.col("__record.bad"), F.raise_error(message)).otherwise(record)
-    fields = [record.alias("__input"), F.col("__record.bad").alias("__bad")]
-    df = df.select("__line", *fields, *([F.col("__record.strings").alias("__strings")] if kinds else []))
+        record = F.when(bad, F.raise_error(message)).otherwise(record)
+    df = df.select("__line", record.alias("__input"), bad.alias("__bad"), *([F.col("__record.strings").alias("__strings")] if kinds else []))
     state = State(df, Records())
     return state if malformed == FAIL else state.fail(F.col("__bad"), message)
 
