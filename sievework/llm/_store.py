@@ -5,15 +5,19 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and no other machine takes part, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,4 +63,7 @@ def release(*tables: DataFrame) -> None:
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over, as it does when their plans are collected as garbage."""
     gc.collect()
+    # Spark holds on to the last query, and what Python has dropped is let go in the JVM by a thread of its own, a little later.
+    spark.range(1).count()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()

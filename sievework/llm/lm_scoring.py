@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._store import release, stored, sweep
-from .quality import fit_quality, score_quality
+from .quality import fit_quality, scored_batches
 
 MASS = 8.0
 #: Bytes of text in a block, and for each part.
-BLOCK, PART = 1 << 24, 1 << 23
+BLOCK, PART = 1 << 23, 1 << 23
 #: What stands before a text's first word.
 START = np.uint64(1)
 _ADDED = ("n_tokens", "target_loss", "background_loss", "lm_score")
@@ -255,8 +255,8 @@ def _losses(words: int, tokens: dict[str, int]):
 
 def _scored(blocks: DataFrame, parts: int, fields: list) -> DataFrame:
     answers = _summed(blocks, parts)
-    sweep(blocks.sparkSession)
     words, n, t = _totals(answers)
+    sweep(blocks.sparkSession)
     docs = blocks.filter("asked").select("block", "rows", "words", "first", "ids", "often").groupBy("block")
     asked = answers.filter("answer_to is not null").select("answer_to", "at", *_COUNTS).groupBy("answer_to")
     return docs.cogroup(asked).applyInArrow(_losses(words, {"n": n, "t": t}), T.schema_of(fields, "n_tokens bigint", "target_loss double", "background_loss double", "lm_score double"))
@@ -299,12 +299,27 @@ def score_corpus(rows: DataFrame, sized: DataFrame) -> DataFrame:
     return _scored(stored(keep.mapInArrow(_blocks(True, True, docs.columns), _BLOCK), "lm-blocks"), _parts(sized), docs.schema.fields)
 
 
+def score_by_quality(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
+    """docs without text, scored as by score_corpus(); the target is what a quality model scores least or more.
+
+    The model is asked where a text is cut into its block, in the same pass.
+    """
+    docs = docs.drop(*_ADDED, "quality_score")
+    rest = docs.drop("text")
+    kept = rest.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = scored_batches(model)(T.small(batches, 4096))
+        marks = (T.with_columns(b, {"__target": pa.array(b.column("quality_score").to_numpy() >= least)}) for b in judged)
+        return _blocks(True, True, kept)(marks)
+
+    return _scored(stored(docs.mapInArrow(run, _BLOCK), "lm-blocks"), _parts(docs), rest.schema.fields)
+
+
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference; the target is what the quality model, learned from labels, holds good.
 
     That is decided at each text, so documents are not joined to anything.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    judged = score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rows = judged.select("doc_id", "text", (F.col("quality_score") >= 0.5).cast("int").alias("target"))
-    return score_corpus(rows, docs)
+    return score_by_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

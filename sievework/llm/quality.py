@@ -187,6 +187,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int
     return fit(x[order], y[order])
 
 
+def scored_batches(model: Model | None):
+    """Batches with a column text, with quality_score added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = T.buffers(batch.column("text"))
+            found = [model.score(features(part, at)) if model else np.full(len(at) - 1, 0.5) for _, _, part, at in T.blocks(data, offsets)]
+            yield T.with_columns(batch, {"quality_score": pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())})
+
+    return run
+
+
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with quality_score from 0 to 1; only the text counts.
 
@@ -195,14 +207,7 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     column quality_score is replaced, others pass.
     """
     docs = docs.drop("quality_score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = T.buffers(batch.column("text"))
-            found = [model.score(features(part, at)) if model else np.full(len(at) - 1, 0.5) for _, _, part, at in T.blocks(data, offsets)]
-            yield T.with_columns(batch, {"quality_score": pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())})
-
-    return docs.mapInArrow(run, T.schema_of(docs.schema, "quality_score double"))
+    return docs.mapInArrow(scored_batches(model), T.schema_of(docs.schema, "quality_score double"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

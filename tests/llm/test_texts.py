@@ -134,6 +134,36 @@ def test_models_grow_with_the_corpus(spark):
             assert got[i][0] == 4000 and got[i][place] == pytest.approx(want)
 
 
+def test_op3_query_against_counting(spark):
+    """The query itself, on the whole small table: exact counts of words and pairs, the target by the quality model."""
+    from collections import Counter
+
+    import brute
+
+    d = sf("0.001")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet"))
+    rows = quality.score_quality(docs, model).select("doc_id", "text", "quality_score").collect()
+    words = {r.doc_id: brute.words(r.text) for r in rows}
+    good = {r.doc_id for r in rows if r.quality_score >= 0.5}
+    different = len({w for x in words.values() for w in x})
+    got = by_id(lm_scoring.op3_lm_scoring(spark, d), "n_tokens", "target_loss", "background_loss", "lm_score")
+    assert len(got) == len(rows) and 0 < len(good) < len(rows)
+    losses = []
+    for ids in (good, set(words)):
+        one, two, first = Counter(), Counter(), Counter()
+        for i in ids:
+            w = words[i]
+            one.update(w)
+            first.update(["<s>", *w][: len(w)])
+            two.update(zip(["<s>", *w], w, strict=False))
+        n = sum(one.values())
+        losses.append({i: np.mean([-np.log2((two[a, b] + lm_scoring.MASS * (one[b] + 0.5) / (n + 0.5 * (different + 2))) / (first[a] + lm_scoring.MASS)) for a, b in zip(["<s>", *w], w, strict=False)]) for i, w in words.items() if w})
+    for i, w in words.items():
+        want = (losses[0][i], losses[1][i], losses[0][i] - losses[1][i]) if w else (None, None, None)
+        assert got[i] == (len(w), *(x if x is None else pytest.approx(x) for x in want))
+
+
 # Personal data
 
 
