@@ -72,7 +72,7 @@ def targets(stats: DataFrame, weights: Sequence[float] | Mapping[str | None, flo
 
 
 def _bucket() -> Column:
-    unit = F.shiftrightunsigned(F.col("__h"), 11).cast("double") / F.lit(float(1 << 53))
+    unit = F.shiftright(F.col("__h"), 8).cast("double") / F.lit(float(1 << 52))
     return F.floor(unit * F.col("__buckets")).cast("long")
 
 
@@ -108,8 +108,10 @@ def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, seed: int, text: str, source: str, doc_id: str) -> DataFrame:
-    """docs with source, size and a seeded hash that orders a source's documents."""
-    return docs.withColumns({"__source": F.col(source), "__size": word_count(F.col(text)), "__h": F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))})
+    """docs with source, size and a seeded hash that orders a source's documents: 60 bits of an MD5, which other engines have too."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    h = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+    return docs.withColumns({"__source": F.col(source), "__size": word_count(F.col(text)), "__h": h})
 
 
 def mix(docs: DataFrame, weights: Sequence[float] | Mapping[str | None, float] = (5, 2, 1), budget_ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:

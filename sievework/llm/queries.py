@@ -27,6 +27,26 @@ QUERIES = {
 }
 #: DuckDB SQL by plain counting, for tables of some thousand documents.
 SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, ''))[1:15])::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total, count(*) AS n, sum(size) * 2.0::DOUBLE AS cap FROM w GROUP BY source),
+v AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+l AS (SELECT *, (sum(total) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+t AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM l),
+g AS (SELECT source, total, target, CASE WHEN total > 0 THEN floor(target / total + 1e-9)::BIGINT ELSE 0 END AS whole, ceil(n / 256.0) AS buckets FROM t),
+r AS (SELECT *, greatest(0, round(target - whole * total))::BIGINT AS rest FROM g),
+d AS MATERIALIZED (SELECT w.*, r.* EXCLUDE (source), floor((h >> 8)::DOUBLE / 4503599627370496.0 * buckets)::BIGINT AS bucket FROM w JOIN r ON w.source IS NOT DISTINCT FROM r.source),
+b AS (SELECT source, rest, bucket, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2, 3),
+c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b),
+e AS MATERIALIZED (SELECT source, bucket AS last, rest - before AS room FROM c WHERE rest > 0 AND before <= rest AND rest < before + words),
+k AS MATERIALIZED (SELECT d.source, d.h, sum(d.size)::BIGINT AS size, row_number() OVER (PARTITION BY d.source ORDER BY d.h) AS place
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.bucket = e.last GROUP BY 1, 2),
+f(source, place, room, h, picked) AS (SELECT source, 0::BIGINT, room::BIGINT, NULL::BIGINT, FALSE FROM e UNION ALL
+  SELECT f.source, k.place, CASE WHEN k.size <= f.room THEN f.room - k.size ELSE f.room END, k.h, k.size <= f.room FROM f JOIN k ON k.source IS NOT DISTINCT FROM f.source AND k.place = f.place + 1)
+SELECT d.doc_id, d.size, d.total AS source_size, d.target, (d.whole + CASE WHEN e.last IS NULL THEN d.target > d.whole * d.total + 0.5 ELSE d.bucket < e.last OR coalesce(f.picked, FALSE) END::BIGINT) * d.size AS taken
+FROM d LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN f ON f.source IS NOT DISTINCT FROM d.source AND f.h = d.h AND d.bucket = e.last""",
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
