@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._join import answered
 from ._store import new_folder, release, stored
 
 LINE, SHARD, HEADER = 576, 64 << 20, 33
+#: Bytes of media that a task reads back.
+READ = 16 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -131,6 +134,23 @@ def _writing(folder: str):
     return run
 
 
+_REF = ("n_bytes", "digest", "shard", "offset", "length")
+
+
+def _written(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with n_bytes and digest, and for each digest the one place that rows are to point to, and how many rows there are."""
+    docs = docs.drop(*_REF)
+    rest = [f for f in docs.schema if f.name != "text"]
+    refs = stored(docs.mapInArrow(_writing(folder), T.schema_of(rest, "n_bytes bigint", "digest string", "shard string", "offset bigint", "length bigint")), "media-refs")
+    return refs, _placed(refs)
+
+
+def _placed(refs: DataFrame) -> DataFrame:
+    """(__digest, shard, offset, length, copies): each payload once."""
+    one = refs.groupBy(F.col("digest").alias("__digest")).agg(F.min(F.struct("shard", "offset", "length")).alias("__at"), F.count(F.lit(1)).alias("copies"))
+    return stored(one.select("__digest", "__at.*", "copies"), "media-places")
+
+
 def store_media(docs: DataFrame, folder: str) -> DataFrame:
     """docs without text, and with n_bytes, digest, shard (a file in folder), offset, length of its payload.
 
@@ -138,14 +158,8 @@ def store_media(docs: DataFrame, folder: str) -> DataFrame:
     equal texts point to the same bytes; columns of docs by these names are
     replaced, others pass; an empty table writes no file.
     """
-    made = ("n_bytes", "digest", "shard", "offset", "length")
-    docs = docs.drop(*made)
-    rest = [f for f in docs.schema if f.name != "text"]
-    refs = stored(docs.mapInArrow(_writing(folder), T.schema_of(rest, "n_bytes bigint", "digest string", "shard string", "offset bigint", "length bigint")), "media-refs")
-    # Stored, so that Spark may split the join for a payload with very many rows.
-    one = stored(refs.groupBy(F.col("digest").alias("__digest")).agg(F.min(F.struct("shard", "offset", "length")).alias("__at")), "media-places")
-    whole = refs.drop("shard", "offset", "length").join(one, F.col("digest") == F.col("__digest"))
-    whole = stored(whole.select(*[f.name for f in rest], "n_bytes", "digest", "__at.shard", "__at.offset", "__at.length"), "media-rows")
+    refs, one = _written(docs, folder)
+    whole = stored(answered(refs.drop("shard", "offset", "length"), one, {"digest": "__digest"}, how="inner"), "media-rows")
     release(refs, one)
     return whole
 
@@ -163,22 +177,31 @@ def _ranges(folder: str, batch: pa.RecordBatch, size: int | None) -> Iterator[by
         file.close()
 
 
-def _members(refs: DataFrame) -> DataFrame:
-    """Each payload once, in the order of the shards, so that a task reads few files from front to back."""
-    return refs.select("digest", "shard", "offset", "length").distinct().repartitionByRange(F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
+def _members(places: DataFrame) -> DataFrame:
+    """Payloads in the order of the shards, about READ bytes to a task, so that each reads few files from front to back."""
+    size = places.agg(F.sum("length")).first()[0] or 0
+    rows = places.select("__digest", "shard", "offset", "length")
+    return rows.repartitionByRange(max(1, -(-size // READ)), F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
 
 
-def with_headers(refs: DataFrame, folder: str) -> DataFrame:
-    """refs with width, height and bits of its media, from reads of HEADER bytes."""
+_HEADER = "width int, height int, bits int"
+
 
+def _heads(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(zip(*(header(x) for x in _ranges(folder, batch, HEADER)), strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_pydict({"__digest": batch.column("digest")} | {c: pa.array(x, pa.int32()) for c, x in zip(("width", "height", "bits"), found, strict=True)})
+            yield pa.RecordBatch.from_pydict({"__digest": batch.column("__digest")} | {c: pa.array(x, pa.int32()) for c, x in zip(("width", "height", "bits"), found, strict=True)})
+
+    return run
 
+
+def with_headers(refs: DataFrame, folder: str) -> DataFrame:
+    """refs with width, height and bits of its media, from reads of HEADER bytes."""
     refs = refs.drop("width", "height", "bits")
-    seen = _members(refs).mapInArrow(run, "__digest string, width int, height int, bits int")
-    return refs.join(stored(seen, "media-headers"), F.col("digest") == F.col("__digest")).drop("__digest")
+    places = _placed(refs)
+    seen = stored(_members(places).mapInArrow(_heads(folder), f"__digest string, {_HEADER}"), "media-headers")
+    return answered(refs, stored(seen.join(places.select("__digest", "copies"), "__digest"), "media-heads"), {"digest": "__digest"}, how="inner")
 
 
 def read_media(refs: DataFrame, folder: str) -> DataFrame:
@@ -187,32 +210,39 @@ def read_media(refs: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, media in enumerate(_ranges(folder, batch, None)):
-                yield pa.RecordBatch.from_pydict({"digest": batch.column("digest").slice(i, 1), "payload": pa.array([decoded(media)], pa.binary()), "media": pa.array([media], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"digest": batch.column("__digest").slice(i, 1), "payload": pa.array([decoded(media)], pa.binary()), "media": pa.array([media], pa.binary())})
 
-    return _members(refs).mapInArrow(run, "digest string, payload binary, media binary")
+    return _members(_placed(refs)).mapInArrow(run, "digest string, payload binary, media binary")
 
 
 def _digested(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for digest, media in zip(batch.column("digest").to_pylist(), _ranges(folder, batch, None), strict=True):
+            for digest, media in zip(batch.column("__digest").to_pylist(), _ranges(folder, batch, None), strict=True):
                 raw = decoded(media)
                 if hashlib.sha256(raw).hexdigest() != digest:
                     raise ValueError("a payload differs from its digest")
                 rows.append((len(raw), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
-            yield pa.RecordBatch.from_pydict({"__digest": batch.column("digest")} | {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
+            yield pa.RecordBatch.from_pydict({"__digest": batch.column("__digest")} | {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
 
     return run
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every text as a picture in a tar shard, read back: digests and features of what was stored."""
+    """Every text as a picture in a tar shard, read back: digests and features of what was stored.
+
+    What is read back, headers by range reads and whole payloads, is joined by
+    payload, and then once to the rows.
+    """
     folder = new_folder(spark, "media")
-    refs = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
-    found = _members(refs).mapInArrow(_digested(folder), "__digest string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    rows = with_headers(refs, folder).join(stored(found, "media-digests"), F.col("digest") == F.col("__digest"))
+    refs, places = _written(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
+    heads = stored(_members(places).mapInArrow(_heads(folder), f"__digest string, {_HEADER}"), "media-headers")
+    found = stored(_members(places).mapInArrow(_digested(folder), "__digest string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"), "media-digests")
+    known = stored(places.join(found, "__digest").join(heads.select(F.col("__digest"), "width", "height"), "__digest"), "media-known")
+    release(heads, found, places)
+    rows = answered(refs.select("doc_id", "n_bytes", "digest"), known, {"digest": "__digest"}, how="inner")
     # The digest is that of the bytes read back: any other is an error there.
     return rows.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")

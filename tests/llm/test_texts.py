@@ -314,6 +314,15 @@ def test_pictures_are_lossless(tmp_path, spark, docs):
         media.header(b"x" * 33)
 
 
+def test_media_of_odd_tables(tmp_path, spark, docs, crowded, empty):
+    refs = media.store_media(crowded, (tmp_path / "a").as_uri())
+    assert refs.count() == docs.count() and set(refs.columns) == {*crowded.columns, "digest", "shard", "offset", "length", "n_bytes"} - {"text"}
+    rows = media.with_headers(refs, (tmp_path / "a").as_uri()).collect()
+    assert len(rows) == docs.count() and all((r.width, r.bits) == (576, 8) for r in rows)
+    assert len({r.shard + str(r.offset) for r in rows}) == len({r.digest for r in rows})
+    assert media.store_media(empty, (tmp_path / "b").as_uri()).count() == 0 and not (tmp_path / "b").exists()
+
+
 def test_op6_digests(spark):
     d = sf("0.001")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
