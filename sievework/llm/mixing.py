@@ -6,13 +6,13 @@ leaves over goes to the others by weight (water-filling). A source's epochs
 are then whole repetitions of all its documents, and a seeded sample of whole
 documents for the fractional rest.
 
-How the plan grows: the texts are read, counted and hashed where they are and
-never shuffled. Shuffled are sums for each source and for each bucket of about
+How the plan grows: the texts are read, counted and hashed where they are, and
+not shuffled as long as the table of sources is small enough to be broadcast. Shuffled are sums for each source and for each bucket of about
 BUCKET documents; both combine before the shuffle, so a source with a third of
 all rows is no hot key. Only the one bucket of each source in which its sample
 ends is gathered. The table with a row for each source is put in order in one
 task (a million sources are some 50 MB) and joined back; whether it is broadcast
-is left to its measured size.
+is left to its measured size, and where it isn't, large sources are dealt out.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._join import answered
 from ._store import stored
 
 #: A word, as a Java pattern.
@@ -80,8 +81,8 @@ def _plan(sized: DataFrame, weights, budget_ratio: float, max_epochs: float) ->
     """For each source its target, whole repetitions, and which documents the fractional repetition takes."""
     stats = sized.groupBy("__source").agg(F.sum("__size").alias("__total"), F.count(F.lit(1)).alias("__n"))
     goals = stored(targets(stats, weights, budget_ratio, max_epochs), "mix-targets")
-    named = goals.select(F.col("__source").alias("__s"), "__buckets", "__rest")
-    dealt = sized.join(named, F.col("__source").eqNullSafe(F.col("__s"))).select("__source", "__h", "__size", "__rest", _bucket().alias("__b"))
+    named = goals.select(F.col("__source").alias("__s"), "__buckets", "__rest", "__n")
+    dealt = answered(sized, named, {"__source": "__s"}, "__n", "inner", True).select("__source", "__h", "__size", "__rest", _bucket().alias("__b"))
     sums = dealt.groupBy("__source", "__b").agg(F.sum("__size").alias("__words"), F.first("__rest").alias("__rest"))
     run = Window.partitionBy("__source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__words").over(run), F.lit(0)))
@@ -96,14 +97,14 @@ def _plan(sized: DataFrame, weights, budget_ratio: float, max_epochs: float) ->
         lambda a, x: F.when(x["__size"] <= a["room"], F.struct((a["room"] - x["__size"]).alias("room"), F.concat(a["picks"], F.array(x["__h"])).alias("picks"))).otherwise(a),
     )["picks"]
     picks = listed.select(F.col("__source").alias("__p"), "__end", fits.alias("__picks"))
-    plan = goals.join(picks, F.col("__source").eqNullSafe(F.col("__p")), "left").withColumnRenamed("__source", "__s").drop("__p", "__rest", "__n")
+    plan = goals.join(picks, F.col("__source").eqNullSafe(F.col("__p")), "left").withColumnRenamed("__source", "__s").drop("__p", "__rest")
     return stored(plan, "mix-plan")
 
 
 def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
     extra = F.when(F.col("__end").isNull(), F.col("__target") > F.col("__whole") * F.col("__total") + 0.5).otherwise((_bucket() < F.col("__end")) | F.coalesce(F.array_contains("__picks", F.col("__h")), F.lit(False)))
     copies = F.col("__whole") + F.coalesce(extra, F.lit(False)).cast("long")
-    out = sized.join(plan, F.col("__source").eqNullSafe(F.col("__s")), "left")
+    out = answered(sized, plan, {"__source": "__s"}, "__n", nulls=True)
     return out.withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("__total"), "mix_target": F.col("__target"), "mix_copies": copies, "mix_taken": copies * F.col("__size")})
 
 
