@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..functions.schema import TYPES
 
 MAGIC, BLOCK_ROWS, FORMAT = b"Obj\x01", 4000, "sievework_avro"
+#: Bytes of a file that a task reads.
+SPLIT = 64 << 20
 
 
 def schema_json(schema: S.StructType, name: str = "record") -> str:
@@ -134,12 +136,26 @@ def read_header(f) -> tuple[str, str, bytes]:
     return meta["avro.schema"].decode(), meta.get("avro.codec", b"null").decode(), f.read(16)
 
 
-def read_container(f) -> Iterator[tuple]:
-    schema, codec, sync = read_header(f)
+class _Counted:
+    """A stream that knows where it is in its file."""
+
+    def __init__(self, f, at: int = 0) -> None:
+        self.f, self.at = f, at
+
+    def read(self, n: int) -> bytes:
+        got = self.f.read(n)
+        self.at += len(got)
+        return got
+
+
+def read_container(f, end: int | None = None, head: tuple[str, str, bytes] | None = None) -> Iterator[tuple]:
+    """Rows of the blocks that follow, up to the first whose sync mark begins at end or later; head where f is behind the header."""
+    f = f if isinstance(f, _Counted) else _Counted(f)
+    schema, codec, sync = head or read_header(f)
     kinds = _members(schema)
     if codec not in ("null", "deflate"):
         raise ValueError(f"no such codec: {codec}")
-    while True:
+    while end is None or f.at - len(sync) < end:
         try:
             n = unzigzag(f)
         except EOFError:
@@ -152,6 +168,19 @@ def read_container(f) -> Iterator[tuple]:
             raise ValueError("a block of an Avro container is damaged")
 
 
+def _behind_sync(file, start: int, sync: bytes) -> int | None:
+    """Where the first block begins whose sync mark begins at start or later."""
+    file.seek(start)
+    held, at = b"", start
+    while chunk := file.read(1 << 16):
+        held += chunk
+        if (found := held.find(sync)) >= 0:
+            return at + found + len(sync)
+        at += max(0, len(held) - len(sync) + 1)
+        held = held[-len(sync) + 1 :]
+    return None
+
+
 def _where(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
@@ -166,8 +195,10 @@ def _files(path: str) -> list[str]:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    """Of a file, the blocks whose sync marks begin from start to before end."""
+
+    def __init__(self, path: str, start: int, end: int) -> None:
+        super().__init__((path, start, end))
 
 
 class _Reader(DataSourceReader):
@@ -175,11 +206,21 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in _files(self.path)]
+        where = _where(self.path)[0]
+        return [_Part(i.path, at, min(i.size, at + SPLIT)) for i in where.get_file_info(_files(self.path)) for at in range(0, max(1, i.size), SPLIT)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with _where(self.path)[0].open_input_stream(partition.value) as f:
-            yield from read_container(io.BufferedReader(_Raw(f), 1 << 20))
+        path, start, end = partition.value
+        with _where(self.path)[0].open_input_file(path) as file:
+            f = _Counted(io.BufferedReader(_Raw(file), 1 << 20))
+            head = read_header(f)
+            if start:
+                at = _behind_sync(file, start, head[2])
+                if at is None:
+                    return
+                file.seek(at)
+                f = _Counted(io.BufferedReader(_Raw(file), 1 << 20), at)
+            yield from read_container(f, end, head)
 
 
 class _Raw(io.RawIOBase):
@@ -216,14 +257,14 @@ class _Writer(DataSourceWriter):
         return _Done(name)
 
     def commit(self, messages: list) -> None:
+        """New files come before old ones go, so that what fails here loses nothing."""
         where, root = _where(self.path)
-        if self.overwrite:
-            for info in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if info.base_name != self.job:
-                    (where.delete_dir if info.type == fs.FileType.Directory else where.delete_file)(info.path)
+        old = [i for i in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.base_name != self.job] if self.overwrite else []
         for m in messages:
             if m is not None:
                 where.move(f"{root}/{self.job}/{m.name}", f"{root}/{m.name}")
+        for info in old:
+            (where.delete_dir if info.type == fs.FileType.Directory else where.delete_file)(info.path)
         where.delete_dir(f"{root}/{self.job}")
 
     def abort(self, messages: list) -> None:

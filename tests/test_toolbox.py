@@ -164,6 +164,26 @@ def test_avro_container(spark, tmp_path):
     assert all(avro.unzigzag(__import__("io").BytesIO(avro.zigzag(n))) == n for n in (0, -1, 1, 63, 64, -65, 2**63 - 1, -(2**63)))
 
 
+def test_avro_files_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """A file of many blocks, cut anywhere: every row once."""
+    rows = [(i, f"text {i}" * (i % 7)) for i in range(5000)]
+    schema = avro.schema_json(S.StructType([S.StructField("i", S.LongType()), S.StructField("s", S.StringType())]))
+    monkeypatch.setattr(avro, "BLOCK_ROWS", 64)
+    with open(tmp_path / "a.avro", "wb") as f:
+        avro.write_container(f, iter(rows), schema)
+    for split in (100, 1777, 1 << 20):
+        monkeypatch.setattr(avro, "SPLIT", split)
+        reader = avro._Reader(str(tmp_path))
+        parts = reader.partitions()
+        assert [r for part in parts for r in reader.read(part)] == rows and (len(parts) > 1 or split == 1 << 20)
+
+
+def test_an_overwrite_leaves_the_new_rows_only(spark, tmp_path):
+    for n in (5, 3):
+        sink.write(spark.range(n), str(tmp_path / "a"))
+    assert sink.read(spark, str(tmp_path / "a")).count() == 3
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"a": "1", "b": null}\n{"a": "2"}\n')
