@@ -1,19 +1,27 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a graph, greedy search walks it.
 
-The graph holds each vector's K best neighbours found so far. It begins with
-small random groups and with groups of equal signs under random planes, split
-to a bounded size, in which all are compared. A round of descent then compares,
-at each vector, a sample of its neighbours and of those that have it as a
-neighbour, pairs with a new one only: a neighbour's neighbour is likely a
-neighbour; rounds end when one changes less than STABLE of all entries. A query
-starts from its own place in the graph and expands, round by round, the STEP best
-vectors it hasn't expanded, until its best all have been. How many it holds is
-EF, doubled until the recall of TRIED queries against brute force is SAFE.
-
-Everything is a join or a sum by key: groups and samples have fixed sizes, so
-rows grow with the vectors and no key gathers more than a few hundred. Tables
-between rounds are in the shared folder. The index is fitted on all vectors;
-results are approximate, and tests hold recall against brute force.
+Equal vectors are one node, so copies, however many, are neither compared nor
+crowd the lists of others; each dimension has a graph of its own. The graph
+holds each node's K best neighbours found so far. It begins with the leaves of
+TREES orders: nodes sorted by their signs under random planes are cut into runs
+of LEAF, in which each is compared with all. A round of descent then compares, at each
+node, a sample of its neighbours and of those that have it as a neighbour, pairs
+with a new one only: a neighbour's neighbour is likely a neighbour. Rounds end
+when one changes less than STABLE of all entries.
+
+A query starts from its own node and expands, round by round, the STEP best
+nodes it hasn't expanded, until its best all have been; it then leaves the
+rounds. How many it holds is EF, doubled until the recall of TRIED queries
+against brute force is SAFE: so EF and the cost of a query grow as the data ask.
+
+Everything is a join or a sum by key: leaves and samples have fixed sizes, so
+rows grow with the vectors and no key gathers more than a few hundred. Vectors
+travel as unit vectors of 2 bytes a component, to a center at most 4 * SAMPLE of
+them; tables between rounds of descent are in the shared folder and released
+when a later one stands. The index is fitted on all vectors; results are approximate, and
+tests hold recall against brute force. Scores are computed in double precision
+from the vectors themselves, for all that single steps of the 2 bytes could
+reorder.
 """
 
 from __future__ import annotations
@@ -22,61 +30,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import stored, sweep
+from . import _text as T
+from ._join import answered
+from ._store import release, stored
 
-K, GROUP, SAMPLE = 32, 64, 24
+K, LEAF, TREES, SAMPLE = 32, 1024, 8, 16
+#: What a center tells a member at most in a round; the rest comes up again in the next.
+TOLD = 8
 EF, STEP = 256, 64
 #: Descent ends when a round has changed less than this share of all list entries.
-STABLE = 0.01
+STABLE = 0.02
 #: The recall that so many queries, searched by brute force too, must reach before the others are searched.
 SAFE, TRIED = 0.95, 256
+#: No two cosines differ by more than this from those of their 2-byte vectors.
+COARSE = 2.5e-3
+
+_GRAPH = "node bigint, others array<bigint>, sims array<float>, new array<boolean>, unit binary"
+_FOUND = "node bigint, others array<bigint>, sims array<float>"
+_STATE = "q bigint, query binary, others array<bigint>, sims array<float>, seen array<bigint>, open array<bigint>, expanded array<boolean>"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, vec) of the vectors that take part, vec as they are.
 
     Left out are null ids, null and empty vectors, those with null or
-    non-finite components, those of length zero, and those whose number of
-    components isn't the most frequent one (the larger of equals). Of rows that
-    repeat an id, the smallest vector counts.
+    non-finite components, and those of length zero. Rows that repeat both id
+    and vector count once; different vectors with one id are rows of their own.
     """
     vec = F.col(embedding).cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = vectors.filter(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec"))
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("vec") == (sizes[0]["n"] if sizes else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
+    return vectors.filter(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec")).distinct()
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def nodes_of(rows: DataFrame, most: int) -> DataFrame:
+    """(node, vec, ids): a node for each different vector, with the smallest of its ids, most at most."""
+    # Spark takes the first rows of a key before the shuffle too, so a vector with very many rows is no hot key.
+    first = rows.withColumn("__at", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("__at") <= most)
+    return first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "vec", "ids")
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of length 1 in single precision, and their signs under PLANES random planes."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        x = _matrix(batch.column("vec")).astype(np.float64)
-        x /= np.abs(x).max(1, keepdims=True)  # no square overflows
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        planes = np.random.default_rng(11).normal(size=(x.shape[1], 32))
-        signs = ((x @ planes > 0) * (1 << np.arange(32, dtype=np.int64))).sum(1)
-        unit = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.astype(np.float32).reshape(-1)))
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "unit": unit, "signs": pa.array(signs, pa.int64())})
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by group, as a table for each run of whole groups."""
+def _scaled(rows: list) -> np.ndarray:
+    """Vectors over a power of two, so that no square overflows or vanishes, and no component is rounded."""
+    x = np.array(rows, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _by_dim(lists: list) -> Iterator[np.ndarray]:
+    sizes = np.array([len(v) for v in lists])
+    for n in np.unique(sizes):
+        yield np.flatnonzero(sizes == n)
+
+
+def _units(trees: int):
+    """Vectors of length 1, 2 bytes a component, and their signs under the planes of each tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.small(batches, 4096):
+            vectors = batch.column("vec").to_pylist()
+            for at in _by_dim(vectors):
+                x = _scaled([vectors[i] for i in at])
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                planes = np.random.default_rng(11).normal(size=(x.shape[1], 32 * trees))
+                signs = (x @ planes > 0).reshape(len(x), trees, 32) @ (1 << np.arange(31, -1, -1, dtype=np.int64))
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(0, signs.size + 1, trees, dtype=np.int32)), pa.array(signs.reshape(-1), pa.int64()))
+                units = pa.array([u.tobytes() for u in x.astype(np.float16)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").take(pa.array(at)), "unit": units, "dim": pa.array(np.full(len(at), x.shape[1], np.int32)), "codes": codes})
+
+    return run
+
+
+def _matrix(units: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(units), np.float16).reshape(len(units), -1).astype(np.float32)
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by key, as tables of whole groups."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
-        center = held.column("center").to_numpy()
-        last = int(np.searchsorted(center, center[-1])) if len(center) else 0
+        keys = held.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if last:
             yield held.slice(0, last).combine_chunks()
             held = held.slice(last)
@@ -84,172 +125,263 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a group with a new member, for whom they are better than what it has."""
-    for table in _groups(batches):
-        center, member = table.column("center").to_numpy(), table.column("member").to_numpy()
-        new, least = table.column("new").to_numpy(zero_copy_only=False), table.column("least").to_numpy()
-        x = _matrix(table.column("unit").combine_chunks())
-        bounds = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
-        out = []
-        for s, e in zip(bounds, np.append(bounds[1:], len(center)), strict=True):
-            sim = x[s:e] @ x[s:e].T
-            good = (sim > least[s:e][:, None]) & (new[s:e][:, None] | new[s:e]) & (member[s:e][:, None] != member[s:e])
-            a, b = np.nonzero(good)
-            out.append((member[s:e][a], member[s:e][b], sim[a, b]))
-        a, b, sim = (np.concatenate(c) for c in zip(*out, strict=True))
-        for s in range(0, len(a), 100_000):
-            part = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(a[part]), "other": pa.array(b[part]), "sim": pa.array(sim[part].astype(np.float32))})
+def _leaves(leaf: int, k: int):
+    """Rows in order of (tree, dim, code): the best of each in its run of leaf rows of one tree and dimension."""
 
+    def compared(nodes: list[int], units: list[bytes]) -> pa.RecordBatch:
+        x = _matrix(units)
+        sim = x @ x.T
+        np.fill_diagonal(sim, -9)
+        m = min(k, len(x) - 1)
+        best = np.argpartition(-sim, m - 1, 1)[:, :m] if m else np.zeros((len(x), 0), np.int64)
+        ids = np.array(nodes, np.int64)
+        sizes = np.full(len(x), m)
+        return pa.RecordBatch.from_pydict({"node": pa.array(ids), "others": _lists(sizes, pa.array(ids[best].reshape(-1))), "sims": _lists(sizes, pa.array(np.take_along_axis(sim, best, 1).reshape(-1), pa.float32()))})
 
-def _compare(rows: DataFrame) -> DataFrame:
-    """rows: center, member, new, least, unit; gives (id, other, sim)."""
-    rows = rows.select("center", "member", "new", "least", "unit").repartition("center").sortWithinPartitions("center")
-    return rows.mapInArrow(_compared, "id bigint, other bigint, sim float")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, units, last = [], [], None
+        for batch in T.small(batches, 4096):
+            for tree, dim, n, u in zip(*(batch.column(c).to_pylist() for c in ("tree", "dim", "node", "unit")), strict=True):
+                if nodes and ((tree, dim) != last or len(nodes) == leaf):
+                    yield compared(nodes, units)
+                    nodes, units = [], []
+                last = tree, dim
+                nodes.append(n)
+                units.append(u)
+        if nodes:
+            yield compared(nodes, units)
 
+    return run
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """(id, near): each id's k best of edges (id, other, sim, new), an edge once, old before new."""
-    one = edges.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    listed = F.sort_array(F.collect_list(F.struct("sim", (-F.col("other")).alias("minus"), "new")), asc=False)
-    return one.groupBy("id").agg(F.slice(listed, 1, k).alias("near"))
 
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False)
 
-def _edges(graph: DataFrame) -> DataFrame:
-    return graph.select("id", F.inline("near")).select("id", (-F.col("minus")).alias("other"), "sim", "new")
 
+def _merged(k: int):
+    """Rows (node, others, sims, fresh) in order of node: each node's k best, an entry once, one that was there before one that is fresh."""
 
-def _sampled(edges: DataFrame, key: str, value: str, seed: int, size: int) -> DataFrame:
-    """At most size values for each key, chosen by hash: one of each of size slots."""
-    mark = F.xxhash64(F.lit(seed), F.col(key), F.col(value))
-    chosen = edges.groupBy(F.col(key).alias("center"), F.pmod(mark, F.lit(size)).alias("slot")).agg(F.min_by(F.struct(F.col(value).alias("member"), "new"), mark).alias("x"))
-    return chosen.select("center", "x.member", "x.new")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, "node"):
+            lengths = table.column("others").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            nodes, which = np.unique(table.column("node").to_numpy(), return_inverse=True)
+            owner = np.repeat(which, lengths)
+            other, sim = _flat(table, "others"), _flat(table, "sims")
+            new = np.repeat(table.column("fresh").to_numpy(zero_copy_only=False), lengths)
+            order = np.lexsort((new, other, owner))
+            owner, other, sim, new = owner[order], other[order], sim[order], new[order]
+            once = np.append(True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]))[: len(owner)]
+            owner, other, sim, new = owner[once], other[once], sim[once], new[once]
+            order = np.lexsort((other, -sim, owner))
+            owner, other, sim, new = owner[order], other[order], sim[order], new[order]
+            unit = table.column("unit").combine_chunks()
+            first = np.searchsorted(owner, np.arange(len(nodes)))
+            keep = np.arange(len(owner)) - first[owner] < k
+            sizes = np.bincount(owner[keep], minlength=len(nodes))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes), "others": _lists(sizes, pa.array(other[keep])), "sims": _lists(sizes, pa.array(sim[keep], pa.float32())), "new": _lists(sizes, pa.array(new[keep])), "unit": _first_valid(unit, which, len(nodes))})
+
+    return run
+
+
+def _first_valid(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
+    """For each of n owners its value that isn't null, or null."""
+    at = np.full(n, -1)
+    some = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+    at[owner[some]] = some
+    return values.take(pa.array(at, mask=at < 0))
+
+
+def _best(found: DataFrame, k: int, graph: DataFrame) -> DataFrame:
+    """graph with what is found, which is fresh."""
+    rows = graph.select("node", "others", "sims", F.lit(False).alias("fresh"), "unit").union(found.select("node", "others", "sims", F.lit(True), F.lit(None).cast("binary")))
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_merged(k), _GRAPH)
+
+
+def _sends(turn: int, size: int):
+    """From each node a sample of its entries, size new and size old ones: there (back false), and the node to each of them (back true)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lengths = batch.column("others").value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(batch)), lengths)
+            node = batch.column("node").to_numpy()[owner]
+            other, new = _flat(table, "others"), _flat(table, "new")
+            mark = T.mix(T.mix(node.astype(np.uint64) * np.uint64(2) + np.uint64(turn)) ^ other.astype(np.uint64))
+            order = np.lexsort((mark, new, owner))
+            group = owner[order] * 2 + new[order]
+            keep = order[np.arange(len(order)) - np.searchsorted(group, group) < size]
+            a, b, fresh, m = node[keep], other[keep], new[keep], mark[keep].view(np.int64)
+            columns = {"center": np.append(a, b), "member": np.append(b, a), "new": np.append(fresh, fresh), "back": np.repeat([False, True], len(a)), "mark": np.append(m, m)}
+            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a center's members with a new one, for whom they are better than what it has."""
+    for table in _whole(batches, "center"):
+        center, member, new = (table.column(c).to_numpy(zero_copy_only=False) for c in ("center", "member", "new"))
+        order = np.lexsort((~new, member, center))  # a member that comes twice counts once, as new if it is in one place
+        order = order[np.append(True, (center[order][1:] != center[order][:-1]) | (member[order][1:] != member[order][:-1]))[: len(order)]]
+        center, member, new, least = center[order], member[order], new[order], table.column("least").to_numpy()[order]
+        x = _matrix_of(table.column("unit").combine_chunks().take(pa.array(order)))
+        bounds = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
+        nodes, sizes, others, sims = [], [], [], []
+        for s, e in zip(bounds, np.append(bounds[1:], len(center)), strict=True):
+            here = slice(s, e)
+            v = np.stack(x[here]) if isinstance(x, list) else x[here]
+            sim = v @ v.T
+            good = (sim > least[here][:, None]) & (new[here][:, None] | new[here])
+            np.fill_diagonal(good, False)
+            if e - s > TOLD + 1:
+                sim[~good] = -9
+                good &= sim >= np.partition(sim, -TOLD, 1)[:, -TOLD][:, None]
+            a, b = np.nonzero(good)
+            if len(a):
+                nodes.append(member[here])
+                sizes.append(np.bincount(a, minlength=e - s))
+                others.append(member[here][b])
+                sims.append(sim[a, b])
+        if nodes:
+            size = np.concatenate(sizes)
+            some = size > 0
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(nodes)[some]), "others": _lists(size[some], pa.array(np.concatenate(others))), "sims": _lists(size[some], pa.array(np.concatenate(sims), pa.float32()))})
+
+
+def _matrix_of(units: pa.Array) -> np.ndarray | list[np.ndarray]:
+    """Units as a matrix, or as a list where their dimensions differ."""
+    each = units.to_pylist()
+    if len({len(u) for u in each}) == 1:
+        return _matrix(each)
+    return [np.frombuffer(u, np.float16).astype(np.float32) for u in each]
 
 
 def build_graph(units: DataFrame, k: int = K, stable: float = STABLE) -> DataFrame:
-    """(id, near) over units (id, unit, signs); near holds (sim, -other, new), best first.
+    """(node, others, sims, new, unit) over units (node, unit, dim, codes), best first.
 
     An entry gives way only to a better one, so rounds change less and less.
     """
-    n = units.count()
-    every = units.select("id", "unit", F.lit(True).alias("new"), F.lit(-2.0).cast("float").alias("least"))
-    groups = max(1, n // GROUP)
-    first = [_compare(every.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).alias("center"), F.col("id").alias("member"), "new", "least", "unit"))]
-    bits = max(0, groups.bit_length() - 1)
-    for turn in (0, 1):
-        low = F.shiftright(F.col("signs"), turn * 16).bitwiseAND((1 << min(16, bits)) - 1)
-        named = units.withColumn("cell", low)
-        sizes = named.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).withColumnRenamed("cell", "__cell")
-        named = named.join(sizes, F.col("cell") == F.col("__cell"))
-        center = F.xxhash64(F.lit(turn), "cell", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("parts")))
-        first.append(_compare(named.select(center.alias("center"), F.col("id").alias("member"), F.lit(True).alias("new"), F.lit(-2.0).cast("float").alias("least"), "unit")))
-    edges = first[0].union(first[1]).union(first[2]).withColumn("new", F.lit(True))
-    graph = stored(_best(edges, k), "near-graph")
+    trees = units.select(F.posexplode("codes").alias("tree", "code"), "dim", "node", "unit")
+    found = trees.repartitionByRange("tree", "dim", "code", "node").sortWithinPartitions("tree", "dim", "code", "node").mapInArrow(_leaves(LEAF, k), _FOUND)
+    none = units.select("node", F.array().cast("array<bigint>").alias("others"), F.array().cast("array<float>").alias("sims"), "unit")
+    graph = stored(_best(found, k, none), "near-graph")
     turn, changed = 0, 1.0
     while changed >= stable:
-        edges = _edges(graph)
-        members = _sampled(edges, "id", "other", turn, SAMPLE).union(_sampled(edges, "other", "id", turn, SAMPLE))
-        members = members.groupBy("center", "member").agg(F.max("new").alias("new"))
-        least = graph.select(F.col("id").alias("__id"), F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-        full = units.select("id", "unit").join(least, F.col("id") == F.col("__id"))
-        found = _compare(members.join(full, F.col("member") == F.col("id")))
-        known = edges.withColumn("new", F.lit(False))
-        graph = stored(_best(known.union(found.withColumn("new", F.lit(True))), k), "near-graph")
-        entries, new = graph.agg(F.sum(F.size("near")), F.sum(F.size(F.filter("near", lambda x: x["new"])))).first()
+        sent = graph.select("node", "others", "new").mapInArrow(_sends(turn, SAMPLE), "center bigint, member bigint, new boolean, back boolean, mark bigint")
+        # A node that very many have as a neighbour hears of as few of them as any other.
+        back = sent.filter("back").groupBy("center", "new", F.pmod("mark", F.lit(SAMPLE)).alias("slot")).agg(F.min_by("member", "mark").alias("member"))
+        members = sent.filter("not back").select("center", "member", "new").union(back.select("center", "member", "new"))
+        least = F.when(F.size("others") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least")
+        rows = members.join(graph.select("node", "unit", least), F.col("member") == F.col("node")).select("center", "member", "new", "unit", "least")
+        found = rows.repartition("center").sortWithinPartitions("center").mapInArrow(_joined, _FOUND)
+        last = graph
+        graph = stored(_best(found, k, last), "near-graph")
+        release(last)
+        entries, new = graph.agg(F.sum(F.size("others")), F.sum(F.size(F.filter("new", lambda x: x)))).first()
         turn, changed = turn + 1, (new or 0) / max(1, entries or 0)
-        sweep(units.sparkSession)
     return graph
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            sim = np.einsum("ij,ij->i", _matrix(batch.column("query")), _matrix(batch.column("unit")))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "other": batch.column("other"), "sim": pa.array(sim.astype(np.float32))})
-
-
 def links_of(graph: DataFrame, k: int = K) -> DataFrame:
-    """(node, links): each id's entries in the graph, and at most k of those that have it as an entry."""
-    edges = _edges(graph).select("id", "other", "sim")
-    back = _sampled(edges.withColumn("new", F.lit(True)), "other", "id", 99, k).select(F.col("center").alias("id"), F.col("member").alias("other"))
-    return stored(edges.select("id", "other").union(back).distinct().groupBy(F.col("id").alias("node")).agg(F.collect_list("other").alias("links")), "near-links")
+    """(node, links): each node's entries in the graph, and at most k of those that have it as an entry."""
+    edges = graph.select("node", F.explode("others").alias("other"))
+    mark = F.xxhash64(F.lit(99), "other", "node")
+    back = edges.groupBy(F.col("other").alias("__to"), F.pmod(mark, F.lit(k)).alias("slot")).agg(F.min_by("node", mark).alias("other"))
+    both = edges.union(back.select(F.col("__to").alias("node"), "other"))
+    return stored(both.groupBy("node").agg(F.collect_set("other").alias("links")), "near-links")
 
 
-def exact(units: DataFrame, queries: DataFrame, top: int) -> dict[int, list[tuple[float, int]]]:
-    """Each query's top (sim, other), by comparing it with all units; queries (id) are few enough for a task."""
-    mine = units.join(queries, "id", "left_semi").select("id", "unit").toArrow().combine_chunks()
-    ids = mine.column("id").to_numpy()
-    x = np.stack([np.array(u, np.float32) for u in mine.column("unit").to_pylist()]) if len(ids) else np.zeros((0, 0), np.float32)
+def exact(units: DataFrame, queries: DataFrame, top: int) -> dict[int, list[float]]:
+    """Each query's top sims, by comparing it with all units of its dimension; queries (node) are few enough for a task."""
+    mine = units.join(queries, "node", "left_semi").select("node", "unit", "dim").collect()
+    dims = {d: ([r.node for r in mine if r.dim == d], _matrix([bytes(r.unit) for r in mine if r.dim == d])) for d in {r.dim for r in mine}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            other = batch.column("id").to_numpy()
-            for s in range(0, len(other) if len(ids) else 0, 1024):
-                sim = x @ _matrix(batch.column("unit").slice(s, 1024)).T
-                sim[ids[:, None] == other[s : s + 1024]] = -9
-                at = np.argsort(-sim, 1, "stable")[:, :top]
-                best = np.take_along_axis(sim, at, 1)
-                q, c = np.nonzero(best > -9)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[q]), "other": pa.array(other[s + at[q, c]]), "sim": pa.array(best[q, c])})
-
-    found = units.select("id", "unit").mapInArrow(run, "id bigint, other bigint, sim float").withColumn("new", F.lit(True))
-    return {r["id"]: [(x["sim"], -x["minus"]) for x in r["near"]] for r in _best(found, top).collect()}
-
-
-def long_enough(units: DataFrame, links: DataFrame, queries: DataFrame, top: int, ef: int = EF) -> int:
-    """ef, doubled until a walk finds SAFE of the top that brute force finds for TRIED of queries, or until it holds all units.
+        for batch in T.small(batches, 2048):
+            node, unit, dim = batch.column("node").to_numpy(), batch.column("unit").to_pylist(), batch.column("dim").to_numpy()
+            for d, (ids, x) in dims.items():
+                at = np.flatnonzero(dim == d)
+                if not len(at):
+                    continue
+                sim = x @ _matrix([unit[i] for i in at]).T
+                sim[np.array(ids)[:, None] == node[at]] = -9
+                m = min(top, len(at))
+                best = np.argpartition(-sim, m - 1, 1)[:, :m]
+                sizes = np.full(len(ids), m)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "others": _lists(sizes, pa.array(node[at][best].reshape(-1))), "sims": _lists(sizes, pa.array(np.take_along_axis(sim, best, 1).reshape(-1), pa.float32()))})
+
+    found = units.select("node", "unit", "dim").mapInArrow(run, _FOUND)
+    found = _best(found, top, units.limit(0).select("node", F.array().cast("array<bigint>").alias("others"), F.array().cast("array<float>").alias("sims"), "unit"))
+    return {r.node: [s for s in r.sims if s > -9] for r in found.collect()}
+
+
+def long_enough(units: DataFrame, links: DataFrame, queries: DataFrame, top: int, ef: int = EF) -> tuple[int, float]:
+    """ef, doubled until a walk finds SAFE of the top that brute force finds for TRIED of queries, or until it holds all units; and the recall there.
 
     A walk's find counts as right if it's at least as near as the last of the top.
     """
-    tried = stored(queries.select("id").distinct().orderBy(F.xxhash64(F.lit(5), "id")).limit(TRIED), "near-tried")
-    want, n = exact(units, tried, top), units.count()
-    if not want:
-        return ef
-    least = units.sparkSession.createDataFrame([(q, float(x[-1][0]) - 1e-6) for q, x in want.items()], "id bigint, least double")
-    while ef < n:
-        found = search(units, links, tried, ef, with_sim=True).join(F.broadcast(least), "id").filter("sim >= least")
-        hits = found.groupBy("id").count().agg(F.sum(F.least("count", F.lit(top)))).first()[0] or 0
-        if hits >= SAFE * sum(len(x) for x in want.values()):
-            break
+    tried = stored(queries.select("node").distinct().orderBy(F.xxhash64(F.lit(5), "node")).limit(TRIED), "near-tried")
+    want, n = {q: x for q, x in exact(units, tried, top).items() if x}, units.count()
+    while True:
+        state = search(units, links, tried, ef)
+        hits = sum(min(len(want[r.q]), sum(s >= want[r.q][-1] - 1e-6 for s in r.sims)) for r in state.select("q", "sims").collect() if r.q in want)
+        recall = hits / max(1, sum(map(len, want.values())))
+        if not want or recall >= SAFE or ef >= n:
+            return ef, recall if want else 1.0
         ef *= 2
-    return ef
 
 
-def search(units: DataFrame, links: DataFrame, queries: DataFrame, ef: int = EF, step: int = STEP, with_sim: bool = False) -> DataFrame:
-    """(id, other): the ef best that a greedy walk over links finds for each of queries (id), which are rows of units."""
-    columns = ("id", "other", "sim") if with_sim else ("id", "other")
-    asked = stored(units.select("id", F.col("unit").alias("query")).join(queries, "id", "left_semi"), "near-queries")
-    names = units.select(F.col("id").alias("__id"), "unit")
-
-    def best(rows: DataFrame) -> DataFrame:
-        # new is false for what has been expanded; an edge that comes again keeps that.
-        return stored(_best(rows, ef), "near-state")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(names, F.col("other") == F.col("__id")).select("id", "query", "other", "unit")
-        return rows.mapInArrow(_scored, "id bigint, other bigint, sim float").withColumn("new", F.lit(True))
-
-    start = asked.join(links, F.col("id") == F.col("node")).select("id", "query", F.explode("links").alias("other"))
-    state = best(scored(start))
-    while True:
-        rows = state.select("id", F.posexplode(F.filter("near", lambda x: x["new"])).alias("at", "x"), F.element_at("near", -1)["sim"].alias("least"), F.size("near").alias("many"))
-        todo = stored(rows.filter(F.col("at") < step).select("id", (-F.col("x.minus")).alias("node")), "near-todo")
-        if todo.isEmpty():
-            return _edges(state).select(*columns)
-        pairs = todo.join(links, "node").select("id", F.explode("links").alias("other")).filter("id != other").distinct()
-        pairs = pairs.join(_edges(state), ["id", "other"], "left_anti").join(asked, "id")
-        known = _edges(state).join(todo.withColumnRenamed("node", "other").withColumn("__done", F.lit(True)), ["id", "other"], "left")
-        known = known.select("id", "other", "sim", (F.col("new") & F.col("__done").isNull()).alias("new"))
-        state = best(known.union(scored(pairs)))
+def _walked(ef: int, step: int):
+    """A query's state with the candidates that it hasn't seen: scored, put in order, cut to ef; open are those to expand next."""
+
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        row = state.to_pylist()[0]
+        others, sims, expanded = np.array(row["others"], np.int64), np.array(row["sims"], np.float32), np.array(row["expanded"], bool)
+        if len(found):
+            ids = found.column("other").to_numpy()
+            sim = _matrix(found.column("unit").to_pylist()) @ np.frombuffer(row["query"], np.float16).astype(np.float32)
+            row["seen"] = row["seen"] + ids.tolist()
+            others, sims, expanded = np.append(others, ids), np.append(sims, sim), np.append(expanded, np.zeros(len(ids), bool))
+            order = np.lexsort((others, -sims))[:ef]
+            others, sims, expanded = others[order], sims[order], expanded[order]
+        at = np.flatnonzero(~expanded)[:step]
+        expanded[at] = True
+        row |= {"others": others.tolist(), "sims": sims.tolist(), "expanded": expanded.tolist(), "open": others[at].tolist()}
+        lists = {"others": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "seen": pa.list_(pa.int64()), "open": pa.list_(pa.int64()), "expanded": pa.list_(pa.bool_())}
+        return pa.table({c: pa.array([row[c]], lists.get(c, pa.int64() if c == "q" else pa.binary())) for c in ("q", "query", "others", "sims", "seen", "open", "expanded")})
+
+    return run
+
+
+def search(units: DataFrame, links: DataFrame, queries: DataFrame, ef: int = EF, step: int = STEP) -> DataFrame:
+    """(q, others, sims, ...): the ef best that a greedy walk over links finds for each of queries (node), which are nodes."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    start = units.join(queries.select("node").distinct(), "node", "left_semi")
+    open_ = stored(start.select(F.col("node").alias("q"), F.col("unit").alias("query"), none("bigint").alias("others"), none("float").alias("sims"), F.array("node").alias("seen"), F.array("node").alias("open"), none("boolean").alias("expanded")), "near-state")
+    names, done = units.select(F.col("node").alias("other"), "unit"), []
+    while not open_.isEmpty():
+        met = open_.select("q", F.explode("open").alias("node")).join(links, "node").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("met"))
+        fresh = open_.select("q", "seen").join(met, "q").select("q", F.explode(F.array_except("met", "seen")).alias("other"))
+        found = fresh.join(names, "other").select(F.col("q").alias("__q"), "other", "unit").groupBy("__q")
+        state = stored(open_.groupBy("q").cogroup(found).applyInArrow(_walked(ef, min(step, ef)), _STATE), "near-state")
+        done.append(state.filter("size(open) = 0"))
+        open_ = state.filter("size(open) > 0")
+    out = start.select(F.col("node").alias("q"), F.col("unit").alias("query"), none("bigint").alias("others"), none("float").alias("sims"), none("bigint").alias("seen"), none("bigint").alias("open"), none("boolean").alias("expanded")).limit(0)
+    for part in done:
+        out = out.union(part)
+    return out
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            a, b = (_matrix(batch.column(c)).astype(np.float64) for c in ("x", "y"))
-            score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "other": batch.column("other"), "score": pa.array(score)})
+    for batch in T.small(batches, 4096):
+        x, y = (batch.column(c).to_pylist() for c in "xy")
+        score = np.zeros(len(x))
+        for at in _by_dim(x):
+            a, b = _scaled([x[i] for i in at]), _scaled([y[i] for i in at])
+            score[at] = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+        yield T.with_columns(batch.drop_columns(["x", "y"]), {"score": pa.array(score)})
 
 
 def nearest(vectors: DataFrame, asked: Column, top: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", ef: int = EF) -> DataFrame:
@@ -257,18 +389,32 @@ def nearest(vectors: DataFrame, asked: Column, top: int = 5, vec_id: str = "vec_
 
     asked is a condition on a column id. Nearness is the cosine in double
     precision, equal ones by the smaller id. Defined cases: what takes part is
-    said at usable(); a query that takes no part has no rows; with fewer than
-    top others all are returned; an empty table gives an empty one.
+    said at usable(); a query that takes no part has no rows; each of different
+    vectors with one id is a query of its own, and a candidate of the others;
+    only vectors of the query's dimension are candidates; with fewer than top
+    of them all are returned; an empty table gives an empty one.
     """
     rows = stored(usable(vectors, vec_id, embedding), "near-vectors")
-    units = stored(rows.mapInArrow(_units, "id bigint, unit array<float>, signs bigint"), "near-units")
-    links, queries = links_of(build_graph(units)), rows.filter(asked).select("id")
-    found = search(units, links, queries, long_enough(units, links, queries, top, ef))
-    x = rows.select("id", F.col("vec").alias("x"))
-    y = rows.select(F.col("id").alias("other"), F.col("vec").alias("y"))
-    scored = found.join(y, "other").join(x, "id").select("id", "other", "x", "y").mapInArrow(_cosines, "id bigint, other bigint, score double")
-    listed = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("other")).alias("minus"))), asc=False), 1, top)
-    ranked = scored.groupBy("id").agg(listed.alias("x")).select("id", F.posexplode("x").alias("at", "x"))
+    nodes = stored(nodes_of(rows, top + 1), "near-nodes")
+    units = stored(nodes.select("node", "vec").mapInArrow(_units(TREES), "node bigint, unit binary, dim int, codes array<bigint>"), "near-units")
+    queries = rows.filter(asked)
+    asking = queries.groupBy("vec").agg(F.count(F.lit(1)).alias("copies")).join(nodes.select("node", "vec"), "vec").select("node", "copies", F.col("vec").alias("__vec"))
+    asking = stored(asking, "near-asking")
+    links = links_of(build_graph(units))
+    state = search(units, links, asking.select("node"), long_enough(units, links, asking.select("node"), top, ef)[0])
+    # What can be among the top by the vectors themselves, and the node's own copies.
+    last = F.coalesce(F.get("sims", F.lit(top)), F.lit(-2.0)) - F.lit(COARSE)
+    near = F.transform(F.filter(F.arrays_zip("others", "sims"), lambda x: x["sims"] >= last), lambda x: x["others"])
+    pairs = state.select("q", F.explode(F.concat(near, F.array("q"))).alias("other"))
+    x = nodes.select(F.col("node").alias("q"), F.col("vec").alias("x"))
+    y = nodes.select(F.col("node").alias("other"), F.col("vec").alias("y"), "ids")
+    scored = pairs.join(y, "other").join(x, "q").select("q", "other", "ids", "x", "y").mapInArrow(_cosines, "q bigint, other bigint, ids array<bigint>, score double")
+    each = scored.select("q", "score", (F.col("q") == F.col("other")).alias("own"), F.explode("ids").alias("id"))
+    listed = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("minus"), "own")), asc=False), 1, top + 1)
+    best = each.groupBy("q").agg(listed.alias("list")).join(asking, F.col("q") == F.col("node")).select("__vec", "copies", "list")
+    found = answered(queries, stored(best, "near-best"), {"vec": "__vec"}, how="inner")
+    others = F.slice(F.filter("list", lambda e: ~(e["own"] & (e["minus"] == -F.col("id")))), 1, top)
+    ranked = found.select("id", F.posexplode(others).alias("at", "x"))
     return ranked.select(F.col("id").alias("query_id"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("x.minus")).alias("vec_id"), F.col("x.score").alias("score"))
 
 

@@ -266,6 +266,23 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(df.filter("vec_id = 0"), F.col("id") >= 0).count() == 0
 
 
+def test_vectors_of_any_scale_and_dimension(spark):
+    """Squares that overflow or vanish, ids that repeat with other vectors, dimensions of their own, and a vector with very many rows."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, 3e-200]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 2.0, 0.0]), (6, [1e308, 1e308]), (2, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in neighbours.nearest(df, F.col("id") >= 0).collect())
+    half = 2**-0.5
+    # Of id 2 there are two rows: each is a query of its own, and a candidate of the other.
+    want = [(0, 1, half), (0, 2, half), (0, 2, 1.0), (0, 3, 0.0), (0, 6, half), (1, 0, half), (1, 2, half), (1, 2, 1.0), (1, 3, half), (1, 6, 1.0), (4, 5, half), (5, 4, half)]
+    assert [x for x in got if x[0] in (0, 1, 4, 5)] == [(q, i, pytest.approx(x)) for q, i, x in want]
+    assert [x[2] for x in got if x[:2] == (2, 2)] == [pytest.approx(half)] * 2 and not any(np.isnan(x[2]) for x in got)
+    same = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.rand(3), F.rand(4))).alias("embedding"))
+    found = neighbours.nearest(same, F.col("id") % 50 == 0).collect()
+    for q in range(0, 3000, 150):
+        mine = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: (r.query_id, r["rank"])) if r.query_id == q]
+        assert [i for i, _ in mine] == [i for i in (0, 3, 6, 9, 12, 15) if i != q][:5] and all(x == pytest.approx(1.0) for _, x in mine)
+
+
 # Tables between steps, and the pipeline
 
 
