@@ -96,10 +96,12 @@ def lookup_customer_nation(spark, d):
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, c_name, CASE WHEN c_custkey IS NULL THEN 'Invalid c_custkey: ''' || o_custkey || '''' END AS why
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey""")
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 - o_custkey END AS o_custkey FROM orders) LEFT JOIN customer ON o_custkey = c_custkey""")
 def lookup_miss_reject(spark, d):
+    """Every other order asks for a customer that isn't there."""
     config = items([_lookup(["c_name"], "c_custkey", "o_custkey", "customer", onFail=[act("reject", {"reasonFrom": "lookup"})])], [act("add-rejection-reason", {"field": "why"})])
-    return run(table(spark, d, "orders"), config, "o_orderkey", "c_name", "why", tables={"customer": table(spark, d, "customer").filter("c_custkey % 2 = 0")})
+    df = table(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 - o_custkey END AS o_custkey"))
+    return run(df, config, "o_orderkey", "c_name", "why", tables={"customer": table(spark, d, "customer")})
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, n_name, r_name, CASE WHEN r_regionkey IS NULL THEN 'nowhere' END AS region_state
@@ -261,12 +263,13 @@ def add_if_missing(spark, d):
     return frame.add_if_missing(frame.add_if_missing(table(spark, d, "region"), "added", F.lit("new")), "r_name", F.lit("never"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, n_name, CASE WHEN n_nationkey IS NULL THEN 'no row found' END AS why FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, n_name, CASE WHEN n_nationkey IS NULL THEN 'no row found' END AS why FROM supplier LEFT JOIN nation ON CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE -1 - s_nationkey END = n_nationkey")
 def jdbc_lookup(spark, d):
     url = f"jdbc:derby:memory:sievework{uuid.uuid4().hex};create=true"
-    table(spark, d, "nation").filter("n_nationkey % 2 = 0").write.jdbc(url, "nation", mode="overwrite")
-    find = act("jdbc-lookup", {"jdbcClient": "db", "select": ["N_NAME"], "fromDBTable": "nation", "where": "n_nationkey = '$input.s_nationkey'", "onFail": [act("reject", {"reasonFrom": "jdbc-lookup"})]})
-    out = run(table(spark, d, "supplier"), items([find], [act("add-rejection-reason", {"field": "why"})]), "s_suppkey", "N_NAME", "why", clients=[JdbcClient("db", url)])
+    table(spark, d, "nation").write.jdbc(url, "nation", mode="overwrite")
+    df = table(spark, d, "supplier").withColumn("place", F.expr("CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE -1 - s_nationkey END"))
+    find = act("jdbc-lookup", {"jdbcClient": "db", "select": ["N_NAME"], "fromDBTable": "nation", "where": "n_nationkey = '$input.place'", "onFail": [act("reject", {"reasonFrom": "jdbc-lookup"})]})
+    out = run(df, items([find], [act("add-rejection-reason", {"field": "why"})]), "s_suppkey", "N_NAME", "why", clients=[JdbcClient("db", url)])
     return out.withColumnRenamed("N_NAME", "n_name")
 
 
@@ -300,9 +303,10 @@ ORDER = Schema("order", (Field("o_orderkey", S.LongType(), False, 0), Field("o_o
 @query("""SELECT o_orderkey, o_orderpriority, coalesce(c_name, 'unknown') AS c_name, coalesce(c_mktsegment, '') AS c_mktsegment,
 CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE (o_orderkey % 50)::INTEGER END AS amount,
 concat_ws('; ', CASE WHEN c_custkey IS NULL THEN 'Invalid c_custkey: ''' || o_custkey || '''' END, CASE WHEN o_orderkey % 10 = 0 THEN 'quantity is no number' END) AS why
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey""")
+FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS o_custkey FROM orders) LEFT JOIN customer ON o_custkey = c_custkey""")
 def flagship(spark, d):
     """Orders: a lookup, a check, reasons for rejection, typed columns and defaults."""
-    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.expr("CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE string(o_orderkey % 50) END AS quantity"))
-    out = Pipeline.of(FLAGSHIP, tables={"customer": table(spark, d, "customer").filter("c_custkey % 7 <> 0")}).over_table(df, marker=False)
+    key = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS o_custkey")  # some that aren't there
+    df = table(spark, d, "orders").select("o_orderkey", key, "o_orderpriority", F.expr("CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE string(o_orderkey % 50) END AS quantity"))
+    out = Pipeline.of(FLAGSHIP, tables={"customer": table(spark, d, "customer")}).over_table(df, marker=False)
     return frame.set_defaults(typing.columns_to_typed(out, ORDER).good, ORDER)
