@@ -19,7 +19,6 @@ _NUMERIC = (S.IntegerType, S.LongType, S.FloatType, S.DoubleType)
 class TrimConfig:
     """Which strings are trimmed before they are read. Strings themselves stay as they are."""
 
-    trim_strings: bool = False
     trim_numerics: bool = True
     trim_booleans: bool = True
 
