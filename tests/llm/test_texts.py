@@ -59,9 +59,56 @@ def test_toxicity_learns_from_no_held_out_label(spark, docs, labels):
     assert one.intercept == two.intercept and (one.weights == two.weights).all() and one.lexicon.whole == two.lexicon.whole
 
 
+def test_op2_query_against_looking_around_each_word(spark):
+    import brute
+
+    d = sf("0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = toxicity.op2_toxicity(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = model.intercept + sum(w * np.log1p(e) for w, e in zip(model.weights, brute.toxic_events(texts[r.doc_id], model.lexicon, toxicity), strict=True))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(x, -30, 30)))) and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_grammar_against_looking_around_each_word():
+    import random
+
+    import brute
+
+    r = random.Random(6)
+    lexicon = toxicity.Lexicon({"idiot": 2.0}, {"moro": 1.0}, {"stup": 3.0})
+    words = ["idiot", "morons", "stupor", "will", "gonna", "kill", "hurt", "you", "them", "not", "never", "said", "wrote", '"', "a", "the", ".", "Idiot,"]
+    for _ in range(4000):
+        text = " ".join(r.choice(words) for _ in range(r.randint(1, 14)))
+        assert toxicity.events(text, lexicon).tolist() == brute.toxic_events(text, lexicon, toxicity), text
+
+
 # Quality
 
 
+def test_op7_query_against_plain_features(spark):
+    from bisect import bisect_right
+
+    import brute
+
+    d = sf("0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.fit_quality(docs.select("doc_id", "text"), labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality.op7_quality(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = brute.quality_features(texts[r.doc_id])
+        fine, wide = ([bisect_right(list(e), v) for e, v in zip(edges, x, strict=True)] for edges in (model.edges, model.coarse))
+        odds = model.base + sum(t[k] for t, k in zip(model.tables, fine, strict=True)) + sum(t[wide[i], wide[j]] for (i, j), t in model.pairs.items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -30, 30)))) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_lookup_tables_learn_a_pair():
     r = np.random.default_rng(0)
     x = r.uniform(size=(3000, 3))
