@@ -18,7 +18,9 @@ hash; their number grows with the bytes of text. A part adds up what all blocks
 sent, and answers each block with the sums of what it asked, which meet it.
 So each key has one entry for each block, however common it is; the tables grow
 with the corpus, and only three sums reach the driver. There are as many rows as
-blocks times parts, some millions at 30 GB.
+blocks times parts, some millions at 30 GB, until at some terabytes a block has
+one key in each; from there on they are as many as keys, which costs more bytes
+for each and still grows as the corpus does. BLOCK may be raised by then.
 """
 
 from __future__ import annotations
@@ -190,7 +192,12 @@ def _parts(*texts: DataFrame) -> int:
 
 def _summed(blocks: DataFrame, parts: int) -> DataFrame:
     asks = blocks.select("block", "counted", "asked", "words", "first", "marks", "ids", "often").mapInArrow(_requests(parts), _SENT)
-    return stored(asks.groupBy("part").applyInArrow(_answers, _ANSWER), "lm-answers")
+    return stored(asks.repartition(_tasks(parts), "part").groupBy("part").applyInArrow(_answers, _ANSWER), "lm-answers")
+
+
+def _tasks(parts: int) -> int:
+    """Tasks for so many parts, or blocks, which are about as many: what one reads does not grow."""
+    return min(parts, 1 << 15)
 
 
 def _totals(answers: DataFrame) -> tuple[int, int, int]:
@@ -257,8 +264,8 @@ def _scored(blocks: DataFrame, parts: int, fields: list) -> DataFrame:
     answers = _summed(blocks, parts)
     words, n, t = _totals(answers)
     sweep(blocks.sparkSession)
-    docs = blocks.filter("asked").select("block", "rows", "words", "first", "ids", "often").groupBy("block")
-    asked = answers.filter("answer_to is not null").select("answer_to", "at", *_COUNTS).groupBy("answer_to")
+    docs = blocks.filter("asked").select("block", "rows", "words", "first", "ids", "often").repartition(_tasks(parts), "block").groupBy("block")
+    asked = answers.filter("answer_to is not null").select("answer_to", "at", *_COUNTS).repartition(_tasks(parts), "answer_to").groupBy("answer_to")
     return docs.cogroup(asked).applyInArrow(_losses(words, {"n": n, "t": t}), T.schema_of(fields, "n_tokens bigint", "target_loss double", "background_loss double", "lm_score double"))
 
 
