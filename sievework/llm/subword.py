@@ -19,6 +19,7 @@ some ten thousand pieces, whose size does not depend on the data.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 #: Code points of a block, and of a slice of its distinct words.
 BLOCK, SLICE = 1 << 20, 1 << 17
+#: Rows that are taken from a batch at once.
+ROWS = 1024
 #: A word longer than this is folded on its own.
 LONG = 64
 _NONE = np.iinfo(np.int32).max
@@ -67,8 +70,8 @@ class Pieces:
         self.key, self.id = key[order], ids[order].astype(np.int32)
         if len(np.unique(key)) < len(key):
             raise ValueError("two pieces of the model have the same hash")
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.key >> np.uint64(42)).astype(np.int64)] = True
+        # Keys are in order; those that begin with the same 18 bits stand from one entry of slots to the next.
+        self.slots = np.searchsorted(self.key >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
         # A lower rank is a better score; equal scores rank by id.
         rank = np.lexsort((np.arange(len(self.text)), -self.score))
         self.rank = np.empty(len(self.text), np.int32)
@@ -77,14 +80,25 @@ class Pieces:
         self.joining = np.zeros(0x110000, bool)
         self.joining[[ord(c) for c in inner]] = True
         self.by_rank = rank.astype(np.int32)
+        # What each id decodes to, as bytes: control ids nothing, the marker a space.
+        raw = [bytes([i - self.byte0]) if self.byte0 >= 0 and 0 <= i - self.byte0 < 256 else t.replace("▁", " ").encode() if self.normal[i] else b"" for i, t in enumerate(self.text)]
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
 
     def lookup(self, key: np.ndarray, chars: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
         """The piece that is chars[where : where + k], whose hash is key, or -1. What has a piece's hash is held against its characters."""
         out = np.full(len(key), -1, np.int32)
-        hit = np.flatnonzero(self.maybe[(key >> np.uint64(42)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
-        same = self.key[at] == key[hit]
-        hit, found = hit[same], self.id[at[same]]
+        slot = (key >> np.uint64(46)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        on, hits, founds = np.flatnonzero(at < end), [], []
+        at, end = at[on], end[on]
+        while len(on):
+            same = self.key[at] == key[on]
+            hits.append(on[same])
+            founds.append(self.id[at[same]])
+            rest = ~same & (at + 1 < end)
+            on, at, end = on[rest], at[rest] + 1, end[rest]
+        hit, found = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits, founds))
         right = np.ones(len(hit), bool)
         for j in range(k):
             right &= chars[where[hit] + j] == self.chars[np.minimum(self.first[found] + j, len(self.chars) - 1)]
@@ -304,26 +318,26 @@ def encode(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, np.ndar
     return out, np.append(0, at)[text_word]
 
 
-def decode(ids: list[int] | None, pieces: Pieces) -> str | None:
-    """The text of ids; bytes that make no UTF-8 become U+FFFD, control ids nothing."""
-    if ids is None:
-        return None
-    parts = [bytes([i - pieces.byte0]) if pieces.byte0 >= 0 and 0 <= i - pieces.byte0 < 256 else pieces.text[i].encode() if pieces.normal[i] else b"" for i in ids]
-    text = b"".join(parts).decode("utf-8", "replace").replace("▁", " ")
-    return text.removeprefix(" ")
+def decode_all(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> list[str]:
+    """The texts of lists of ids, list i being ids[bounds[i] : bounds[i + 1]]; bytes that make no UTF-8 become U+FFFD."""
+    size = pieces.raw_size[ids]
+    ends = np.append(0, np.cumsum(size))
+    flat = pieces.raw[np.repeat(pieces.raw_at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    at = ends[bounds].tolist()
+    texts = [flat[s:e].decode("utf-8", "replace").removeprefix(" ") for s, e in zip(at[:-1], at[1:], strict=True)]
+    return [t.replace("▁", " ") if "▁" in t else t for t in texts]
 
 
-def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """docs without text, with ids and n_tokens.
+def decode(ids: list[int] | None, pieces: Pieces) -> str | None:
+    """The text of ids."""
+    return None if ids is None else decode_all(np.array(ids, np.int64), np.array([0, len(ids)]), pieces)[0]
 
-    Defined cases: a null or empty text has no ids; a character without a piece
-    becomes its bytes; equal texts get equal ids; U+2581 counts as a space, as
-    the model has it; columns of docs by these names are replaced, others pass.
-    """
-    docs = docs.drop("ids", "n_tokens")
+
+def encoded_batches(pieces: Pieces):
+    """Batches with ids and n_tokens in the place of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.small(batches, ROWS):
             texts, i = batch.column("text").to_pylist(), 0
             while i < len(texts):
                 j, size = i, 0
@@ -335,23 +349,51 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 yield T.with_columns(batch.slice(i, j - i).drop_columns(["text"]), {"ids": lists, "n_tokens": pa.array(np.diff(at), pa.int64())})
                 i = j
 
-    return docs.mapInArrow(run, T.schema_of([f for f in docs.schema if f.name != "text"], "ids array<int>", "n_tokens bigint"))
+    return run
 
 
-def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """rows with text in place of ids; a null list has a null text."""
+def decoded_batches(pieces: Pieces):
+    """Batches with text in the place of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [decode(x, pieces) for x in batch.column("ids").to_pylist()]
-            yield T.with_columns(batch.drop_columns(["ids"]), {"text": pa.array(texts, pa.string())})
+        for batch in T.small(batches, ROWS):
+            lists = batch.column("ids")
+            bounds = np.append(0, np.cumsum(lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False)))
+            texts = decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds, pieces)
+            known = lists.is_valid().to_pylist()
+            yield T.with_columns(batch.drop_columns(["ids"]), {"text": pa.array([t if k else None for t, k in zip(texts, known, strict=True)], pa.string())})
 
-    return rows.mapInArrow(run, T.schema_of([f for f in rows.schema if f.name not in ("ids", "text")], "text string"))
+    return run
+
+
+def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """docs without text, with ids and n_tokens.
+
+    Defined cases: a null or empty text has no ids; a character without a piece
+    becomes its bytes; equal texts get equal ids; U+2581 counts as a space, as
+    the model has it; columns of docs by these names are replaced, others pass.
+    """
+    docs = docs.drop("ids", "n_tokens")
+    return docs.mapInArrow(encoded_batches(pieces), T.schema_of([f for f in docs.schema if f.name != "text"], "ids array<int>", "n_tokens bigint"))
+
+
+def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """rows with text in place of ids; a null list has a null text, an empty one an empty text; an input column text is replaced."""
+    return rows.mapInArrow(decoded_batches(pieces), T.schema_of([f for f in rows.schema if f.name not in ("ids", "text")], "text string"))
 
 
 def op8_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """Every document's ids, and the SHA-256 of the text that they decode to."""
+    """Every document's ids, and the SHA-256 of the text that they decode to.
+
+    Both ways are taken in one pass, so that neither ids nor texts go back and forth.
+    """
     pieces = load(model)
-    rows = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), pieces)
-    back = decoded(rows.withColumn("__ids", F.col("ids")), pieces)
-    return back.select("doc_id", F.col("__ids").alias("ids"), "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in encoded_batches(pieces)(batches):
+            for back in decoded_batches(pieces)(iter([rows.select(["ids"])])):
+                digests = [hashlib.sha256(t.encode()).hexdigest() for t in back.column("text").to_pylist()]
+                yield T.with_columns(rows, {"text_sha256": pa.array(digests, pa.string())})
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.mapInArrow(run, T.schema_of([docs.schema["doc_id"]], "ids array<int>", "n_tokens bigint", "text_sha256 string"))
