@@ -29,7 +29,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -266,7 +265,9 @@ class Tagger:
     def best(self, e: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of each row of emissions (row, place, tag), by Viterbi over its first size places, and their marginals."""
         n, length, k = e.shape
-        trans, rows = self.p["trans"], np.arange(n)
+        # Inside a span comes after its beginning or its inside, of the same kind.
+        tag = np.arange(k)
+        trans, rows = self.p["trans"] + np.where((tag > 0) & (tag % 2 == 0) & (tag[:, None] != tag) & (tag[:, None] != tag - 1), -1e4, 0.0), np.arange(n)
         best, back = e[:, 0], np.empty((n, length, k), np.int8)
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
@@ -318,10 +319,10 @@ class Tagger:
         return out
 
 
-def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in T.small(batches, DOCS):
         rows = []
-        for text in batch["text"]:
+        for text in batch.column("text").to_pylist():
             if not text or not (found := islands(text)):
                 continue
             spans, bad = base_spans(text)
@@ -332,7 +333,8 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if not any(x < at + WINDOW and at < y for x, _, y in unclear):
                         piece = text[at : min(e, at + WINDOW)]
                         rows.append((zlib.crc32(piece.encode("utf-8", "replace")), piece, "".join(map(str, _tags(spans, at)))))
-        yield pd.DataFrame(rows, columns=["mark", "piece", "tags"])
+        marks, pieces, tags = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"mark": pa.array(marks, pa.int64()), "piece": pa.array(pieces, pa.string()), "tags": pa.array(tags, pa.string())})
 
 
 def _luhn_number(r: random.Random) -> str:
@@ -396,7 +398,7 @@ def fit_tagger(docs: DataFrame, limit: int = FIT_WINDOWS, sample: int = FIT_DOCS
     """
     share = min(1.0, sample / max(1, docs.count()))
     unit = F.shiftrightunsigned(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), 11) / F.lit(float(1 << 53))
-    found = docs.filter(unit < share).select("text").mapInPandas(_examples, "mark bigint, piece string, tags string")
+    found = docs.filter(unit < share).select("text").mapInArrow(_examples, "mark bigint, piece string, tags string")
     rows = found.orderBy("mark", "piece", "tags").limit(limit).collect()
     texts, spans = written_windows([r.piece for r in rows], FIT_WRITTEN)
     x = np.stack([_ids(t, 0, len(t)) for t in [r.piece for r in rows] + texts])
