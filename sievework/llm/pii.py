@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -475,5 +475,9 @@ def op5_personal_data(spark, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text; the counts are of the patterns' spans."""
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
     each = F.split("base_spans", ",")
-    counts = [F.size(F.filter(each, lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(each, lambda x: x.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
