@@ -1,32 +1,38 @@
-"""Approximate nearest neighbours by cosine: NN-descent builds a graph, greedy search walks it.
+"""Approximate nearest neighbours by cosine: NN-descent builds graphs, greedy search walks them.
 
 Equal vectors are one node, so copies, however many, are neither compared nor
-crowd the lists of others; each dimension has a graph of its own. The graph
-holds each node's K best neighbours found so far. It begins with the leaves of
-TREES orders: nodes sorted by their signs under random planes are cut into runs
-of LEAF, in which each is compared with all. A round of descent then compares, at each
-node, a sample of its neighbours and of those that have it as a neighbour, pairs
-with a new one only: a neighbour's neighbour is likely a neighbour. Rounds end
-when one changes less than STABLE of all entries.
-
-A query starts from its own node and expands, round by round, the STEP best
-nodes it hasn't expanded, until its best all have been; it then leaves the
-rounds. How many it holds is EF, doubled until the recall of TRIED queries
-against brute force is SAFE: so EF and the cost of a query grow as the data ask.
-
-Everything is a join or a sum by key: leaves and samples have fixed sizes, so
-rows grow with the vectors and no key gathers more than a few hundred. Vectors
-travel as unit vectors of 2 bytes a component, to a center at most 4 * SAMPLE of
-them; tables between rounds of descent are in the shared folder and released
-when a later one stands. The index is fitted on all vectors; results are approximate, and
-tests hold recall against brute force. Scores are computed in double precision
-from the vectors themselves, for all that single steps of the 2 bytes could
-reorder.
+crowd the lists of others; each dimension has graphs of its own. The nodes of a
+dimension are dealt to blocks of about BLOCK: the cells of a spherical k-means
+that is fitted on at most FITTED vectors, and parts by hash of cells that are
+larger. A block's graph is made in one task, from vectors that are all in its
+memory. It begins with the leaves of TREES trees: nodes are halved by planes
+between two of them until LEAF are left, each of which is compared with all. A
+round of descent then compares, at each node, a sample of its neighbours and of
+those that have it as a neighbour, pairs with a new one only: a neighbour's
+neighbour is likely a neighbour. Rounds end when one changes less than STABLE of
+all entries. Every node is linked to its K and to K that have it as one of theirs.
+
+A query walks the graphs of the cells whose centers are nearest to it. It starts
+from the best of a block's every ENTRY-th node and expands, round by round, the
+STEP best nodes it hasn't expanded, until its best all have been. How many it
+holds is EF in its nearest cell and half of that with each doubling of a cell's
+rank; EF and the share of cells are raised until the recall of TRIED queries
+against brute force over all vectors is SAFE: so the cost of a query grows as
+the data ask.
+
+A vector travels once to its block, as a unit vector of 2 bytes a component, and
+a block's graph once to each ASKS of its queries; what a task holds is bounded by
+BLOCK and ASKS, and the number of tasks grows with the vectors. All vectors are
+indexed; results are approximate, and tests hold recall against brute force.
+Scores are computed in double precision from the vectors themselves, for all
+that single steps of the 2 bytes could reorder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +41,17 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._join import answered
-from ._store import release, stored
-
-K, LEAF, TREES, SAMPLE = 32, 1024, 8, 16
-#: What a center tells a member at most in a round; the rest comes up again in the next.
-TOLD = 8
+from ._store import release, stored, sweep
+
+K, LEAF, TREES, SAMPLE = 24, 256, 4, 12
+#: Nodes of a block, and of the least for which a table is cut into up to PARTS of them.
+BLOCK, LEAST, PARTS = 1 << 17, 1 << 12, 16
+#: The k-means sees so many vectors for each cell, and so many of a dimension at most.
+SEEN, FITTED = 256, 1 << 16
+#: One in so many nodes of a block is where a walk can begin, and so many of them are where it does.
+ENTRY, BEGUN = 64, 32
+#: Queries of a block that one task answers, and that walk it side by side.
+ASKS, ABREAST = 1 << 16, 64
 EF, STEP = 256, 64
 #: Descent ends when a round has changed less than this share of all list entries.
 STABLE = 0.02
@@ -47,10 +59,11 @@ STABLE = 0.02
 SAFE, TRIED = 0.95, 256
 #: No two cosines differ by more than this from those of their 2-byte vectors.
 COARSE = 2.5e-3
+#: Nodes in a row of a stored graph; pairs that descent finds before it merges them.
+ROW, HELD = 1 << 12, 1 << 21
 
-_GRAPH = "node bigint, others array<bigint>, sims array<float>, new array<boolean>, unit binary"
-_FOUND = "node bigint, others array<bigint>, sims array<float>"
-_STATE = "q bigint, query binary, others array<bigint>, sims array<float>, seen array<bigint>, open array<bigint>, expanded array<boolean>"
+_FOUND = "q bigint, others array<bigint>, sims array<float>"
+_GRAPH = "block int, row int, nodes binary, units binary, links binary"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -61,45 +74,41 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     and vector count once; different vectors with one id are rows of their own.
     """
     vec = F.col(embedding).cast("array<double>")
-    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    least, most, inf = F.array_min(vec), F.array_max(vec), F.lit(float("inf"))
+    # What an array holds is unknown, not false, where it has a null; NaN is above all others.
+    fine = ~F.array_contains(vec, inf) & (most < inf) & (least > -inf) & ((least != 0) | (most != 0))
     return vectors.filter(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec")).distinct()
 
 
 def nodes_of(rows: DataFrame, most: int) -> DataFrame:
     """(node, vec, ids): a node for each different vector, with the smallest of its ids, most at most."""
     # Spark takes the first rows of a key before the shuffle too, so a vector with very many rows is no hot key.
-    first = rows.withColumn("__at", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("__at") <= most)
-    return first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "vec", "ids")
+    by_id = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("id")  # hashes sort faster than vectors
+    first = rows.withColumn("__at", F.row_number().over(by_id)).filter(F.col("__at") <= most)
+    ids = F.array_compact(F.array("id", *[F.lead("id", i).over(by_id) for i in range(1, most)]))
+    return first.withColumn("ids", ids).filter("__at = 1").select(F.monotonically_increasing_id().alias("node"), "vec", "ids")
 
 
-def _scaled(rows: list) -> np.ndarray:
+def _scaled(rows: list | np.ndarray) -> np.ndarray:
     """Vectors over a power of two, so that no square overflows or vanishes, and no component is rounded."""
     x = np.array(rows, np.float64)
     return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
-def _by_dim(lists: list) -> Iterator[np.ndarray]:
-    sizes = np.array([len(v) for v in lists])
+def _by_dim(sizes: np.ndarray) -> Iterator[np.ndarray]:
     for n in np.unique(sizes):
         yield np.flatnonzero(sizes == n)
 
 
-def _units(trees: int):
-    """Vectors of length 1, 2 bytes a component, and their signs under the planes of each tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.small(batches, 4096):
-            vectors = batch.column("vec").to_pylist()
-            for at in _by_dim(vectors):
-                x = _scaled([vectors[i] for i in at])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                planes = np.random.default_rng(11).normal(size=(x.shape[1], 32 * trees))
-                signs = (x @ planes > 0).reshape(len(x), trees, 32) @ (1 << np.arange(31, -1, -1, dtype=np.int64))
-                codes = pa.ListArray.from_arrays(pa.array(np.arange(0, signs.size + 1, trees, dtype=np.int32)), pa.array(signs.reshape(-1), pa.int64()))
-                units = pa.array([u.tobytes() for u in x.astype(np.float16)], pa.binary())
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node").take(pa.array(at)), "unit": units, "dim": pa.array(np.full(len(at), x.shape[1], np.int32)), "codes": codes})
-
-    return run
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length 1, 2 bytes a component."""
+    for batch in T.small(batches, 4096):
+        vectors = batch.column("vec")
+        for at in _by_dim(vectors.value_lengths().to_numpy()):
+            x = _scaled(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            units = pa.array([u.tobytes() for u in x.astype(np.float16)], pa.binary())
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node").take(pa.array(at)), "unit": units, "dim": pa.array(np.full(len(at), x.shape[1], np.int32))})
 
 
 def _matrix(units: list[bytes]) -> np.ndarray:
@@ -110,275 +119,399 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows sorted by key, as tables of whole groups."""
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        keys = held.column(key).to_numpy()
-        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if last:
-            yield held.slice(0, last).combine_chunks()
-            held = held.slice(last)
-    if held is not None and len(held):
-        yield held.combine_chunks()
-
-
-def _leaves(leaf: int, k: int):
-    """Rows in order of (tree, dim, code): the best of each in its run of leaf rows of one tree and dimension."""
-
-    def compared(nodes: list[int], units: list[bytes]) -> pa.RecordBatch:
-        x = _matrix(units)
-        sim = x @ x.T
-        np.fill_diagonal(sim, -9)
-        m = min(k, len(x) - 1)
-        best = np.argpartition(-sim, m - 1, 1)[:, :m] if m else np.zeros((len(x), 0), np.int64)
-        ids = np.array(nodes, np.int64)
-        sizes = np.full(len(x), m)
-        return pa.RecordBatch.from_pydict({"node": pa.array(ids), "others": _lists(sizes, pa.array(ids[best].reshape(-1))), "sims": _lists(sizes, pa.array(np.take_along_axis(sim, best, 1).reshape(-1), pa.float32()))})
+# Cells and blocks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, units, last = [], [], None
-        for batch in T.small(batches, 4096):
-            for tree, dim, n, u in zip(*(batch.column(c).to_pylist() for c in ("tree", "dim", "node", "unit")), strict=True):
-                if nodes and ((tree, dim) != last or len(nodes) == leaf):
-                    yield compared(nodes, units)
-                    nodes, units = [], []
-                last = tree, dim
-                nodes.append(n)
-                units.append(u)
-        if nodes:
-            yield compared(nodes, units)
 
-    return run
+class Cells(NamedTuple):
+    """The cells of one dimension: their centers, each one's first block and number of blocks."""
 
+    centers: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
 
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False)
 
+def _centers(x: np.ndarray, n: int) -> np.ndarray:
+    """Spherical k-means of unit vectors."""
+    rng = np.random.default_rng(5)
+    centers = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(8):
+        mine = (x @ centers.T).argmax(1)
+        total = np.zeros_like(centers)
+        np.add.at(total, mine, x)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centers = np.where(length > 1e-6, total / np.maximum(length, 1e-6), centers)
+    return centers
 
-def _merged(k: int):
-    """Rows (node, others, sims, fresh) in order of node: each node's k best, an entry once, one that was there before one that is fresh."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole(batches, "node"):
-            lengths = table.column("others").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-            nodes, which = np.unique(table.column("node").to_numpy(), return_inverse=True)
-            owner = np.repeat(which, lengths)
-            other, sim = _flat(table, "others"), _flat(table, "sims")
-            new = np.repeat(table.column("fresh").to_numpy(zero_copy_only=False), lengths)
-            order = np.lexsort((new, other, owner))
-            owner, other, sim, new = owner[order], other[order], sim[order], new[order]
-            once = np.append(True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]))[: len(owner)]
-            owner, other, sim, new = owner[once], other[once], sim[once], new[once]
-            order = np.lexsort((other, -sim, owner))
-            owner, other, sim, new = owner[order], other[order], sim[order], new[order]
-            unit = table.column("unit").combine_chunks()
-            first = np.searchsorted(owner, np.arange(len(nodes)))
-            keep = np.arange(len(owner)) - first[owner] < k
-            sizes = np.bincount(owner[keep], minlength=len(nodes))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes), "others": _lists(sizes, pa.array(other[keep])), "sims": _lists(sizes, pa.array(sim[keep], pa.float32())), "new": _lists(sizes, pa.array(new[keep])), "unit": _first_valid(unit, which, len(nodes))})
-
-    return run
+def cells_of(units: DataFrame) -> tuple[dict[int, Cells], int]:
+    """The cells of each dimension, and the nodes that the largest block will have, about."""
+    sizes = {r.dim: r["count"] for r in units.groupBy("dim").count().collect()}
+    wanted = {d: max(ceil(n / BLOCK), min(PARTS, n // LEAST + 1)) for d, n in sizes.items()}
+    seen: dict[int, list] = {}
+    for d, s in wanted.items():
+        if s > 1:
+            share = min(FITTED, SEEN * s) / sizes[d]
+            some = units.filter((F.col("dim") == d) & (F.pmod(F.xxhash64(F.lit(17), "node"), F.lit(1 << 30)) < int(share * (1 << 30))))
+            seen[d] = [r.unit for r in sorted(some.select("node", "unit").collect())]
+    out, first, largest = {}, 0, 0
+    for d, n in sorted(sizes.items()):
+        centers, share = np.zeros((1, d), np.float32), np.ones(1)
+        if seen.get(d):
+            x = _matrix(seen[d])
+            centers = _centers(x, wanted[d])
+            share = np.bincount((x @ centers.T).argmax(1), minlength=len(centers)) / len(x)
+        parts = np.maximum(1, np.ceil(share * n / (BLOCK * 4 / 3))).astype(np.int64)
+        out[d] = Cells(centers, first + np.cumsum(parts) - parts, parts)
+        first, largest = first + int(parts.sum()), max(largest, ceil((share * n / parts).max()))
+    return out, largest
 
 
-def _first_valid(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
-    """For each of n owners its value that isn't null, or null."""
-    at = np.full(n, -1)
-    some = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
-    at[owner[some]] = some
-    return values.take(pa.array(at, mask=at < 0))
+def _part(node: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (T.mix(node.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
 
 
-def _best(found: DataFrame, k: int, graph: DataFrame) -> DataFrame:
-    """graph with what is found, which is fresh."""
-    rows = graph.select("node", "others", "sims", F.lit(False).alias("fresh"), "unit").union(found.select("node", "others", "sims", F.lit(True), F.lit(None).cast("binary")))
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_merged(k), _GRAPH)
+def _by_cells(batches: Iterator[pa.RecordBatch], cells: dict[int, Cells], size: int) -> Iterator[tuple[Cells, np.ndarray, np.ndarray]]:
+    """Nodes of one dimension: its cells, the nodes and their vectors."""
+    for batch in T.small(batches, size):
+        node, dim, units = batch.column("node").to_numpy(), batch.column("dim").to_numpy(), batch.column("unit").to_pylist()
+        for d in np.unique(dim):
+            at = np.flatnonzero(dim == d)
+            yield cells[int(d)], node[at], _matrix([units[i] for i in at])
 
 
-def _sends(turn: int, size: int):
-    """From each node a sample of its entries, size new and size old ones: there (back false), and the node to each of them (back true)."""
+def _placed(cells: dict[int, Cells]):
+    """Nodes and the blocks that they belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            lengths = batch.column("others").value_lengths().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(batch)), lengths)
-            node = batch.column("node").to_numpy()[owner]
-            other, new = _flat(table, "others"), _flat(table, "new")
-            mark = T.mix(T.mix(node.astype(np.uint64) * np.uint64(2) + np.uint64(turn)) ^ other.astype(np.uint64))
-            order = np.lexsort((mark, new, owner))
-            group = owner[order] * 2 + new[order]
-            keep = order[np.arange(len(order)) - np.searchsorted(group, group) < size]
-            a, b, fresh, m = node[keep], other[keep], new[keep], mark[keep].view(np.int64)
-            columns = {"center": np.append(a, b), "member": np.append(b, a), "new": np.append(fresh, fresh), "back": np.repeat([False, True], len(a)), "mark": np.append(m, m)}
-            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
+        for c, node, x in _by_cells(batches, cells, 4096):
+            mine = (x @ c.centers.T).argmax(1)
+            units = pa.array([u.tobytes() for u in x.astype(np.float16)], pa.binary())
+            yield pa.RecordBatch.from_pydict({"block": pa.array((c.first[mine] + _part(node, c.parts[mine])).astype(np.int32)), "node": pa.array(node), "unit": units})
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a center's members with a new one, for whom they are better than what it has."""
-    for table in _whole(batches, "center"):
-        center, member, new = (table.column(c).to_numpy(zero_copy_only=False) for c in ("center", "member", "new"))
-        order = np.lexsort((~new, member, center))  # a member that comes twice counts once, as new if it is in one place
-        order = order[np.append(True, (center[order][1:] != center[order][:-1]) | (member[order][1:] != member[order][:-1]))[: len(order)]]
-        center, member, new, least = center[order], member[order], new[order], table.column("least").to_numpy()[order]
-        x = _matrix_of(table.column("unit").combine_chunks().take(pa.array(order)))
-        bounds = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
-        nodes, sizes, others, sims = [], [], [], []
-        for s, e in zip(bounds, np.append(bounds[1:], len(center)), strict=True):
-            here = slice(s, e)
-            v = np.stack(x[here]) if isinstance(x, list) else x[here]
-            sim = v @ v.T
-            good = (sim > least[here][:, None]) & (new[here][:, None] | new[here])
-            np.fill_diagonal(good, False)
-            if e - s > TOLD + 1:
-                sim[~good] = -9
-                good &= sim >= np.partition(sim, -TOLD, 1)[:, -TOLD][:, None]
-            a, b = np.nonzero(good)
-            if len(a):
-                nodes.append(member[here])
-                sizes.append(np.bincount(a, minlength=e - s))
-                others.append(member[here][b])
-                sims.append(sim[a, b])
-        if nodes:
-            size = np.concatenate(sizes)
-            some = size > 0
-            yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(nodes)[some]), "others": _lists(size[some], pa.array(np.concatenate(others))), "sims": _lists(size[some], pa.array(np.concatenate(sims), pa.float32()))})
-
-
-def _matrix_of(units: pa.Array) -> np.ndarray | list[np.ndarray]:
-    """Units as a matrix, or as a list where their dimensions differ."""
-    each = units.to_pylist()
-    if len({len(u) for u in each}) == 1:
-        return _matrix(each)
-    return [np.frombuffer(u, np.float16).astype(np.float32) for u in each]
-
-
-def build_graph(units: DataFrame, k: int = K, stable: float = STABLE) -> DataFrame:
-    """(node, others, sims, new, unit) over units (node, unit, dim, codes), best first.
-
-    An entry gives way only to a better one, so rounds change less and less.
-    """
-    trees = units.select(F.posexplode("codes").alias("tree", "code"), "dim", "node", "unit")
-    found = trees.repartitionByRange("tree", "dim", "code", "node").sortWithinPartitions("tree", "dim", "code", "node").mapInArrow(_leaves(LEAF, k), _FOUND)
-    none = units.select("node", F.array().cast("array<bigint>").alias("others"), F.array().cast("array<float>").alias("sims"), "unit")
-    graph = stored(_best(found, k, none), "near-graph")
-    turn, changed = 0, 1.0
-    while changed >= stable:
-        sent = graph.select("node", "others", "new").mapInArrow(_sends(turn, SAMPLE), "center bigint, member bigint, new boolean, back boolean, mark bigint")
-        # A node that very many have as a neighbour hears of as few of them as any other.
-        back = sent.filter("back").groupBy("center", "new", F.pmod("mark", F.lit(SAMPLE)).alias("slot")).agg(F.min_by("member", "mark").alias("member"))
-        members = sent.filter("not back").select("center", "member", "new").union(back.select("center", "member", "new"))
-        least = F.when(F.size("others") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least")
-        rows = members.join(graph.select("node", "unit", least), F.col("member") == F.col("node")).select("center", "member", "new", "unit", "least")
-        found = rows.repartition("center").sortWithinPartitions("center").mapInArrow(_joined, _FOUND)
-        last = graph
-        graph = stored(_best(found, k, last), "near-graph")
-        release(last)
-        entries, new = graph.agg(F.sum(F.size("others")), F.sum(F.size(F.filter("new", lambda x: x)))).first()
-        turn, changed = turn + 1, (new or 0) / max(1, entries or 0)
-    return graph
-
-
-def links_of(graph: DataFrame, k: int = K) -> DataFrame:
-    """(node, links): each node's entries in the graph, and at most k of those that have it as an entry."""
-    edges = graph.select("node", F.explode("others").alias("other"))
-    mark = F.xxhash64(F.lit(99), "other", "node")
-    back = edges.groupBy(F.col("other").alias("__to"), F.pmod(mark, F.lit(k)).alias("slot")).agg(F.min_by("node", mark).alias("other"))
-    both = edges.union(back.select(F.col("__to").alias("node"), "other"))
-    return stored(both.groupBy("node").agg(F.collect_set("other").alias("links")), "near-links")
-
-
-def exact(units: DataFrame, queries: DataFrame, top: int) -> dict[int, list[float]]:
-    """Each query's top sims, by comparing it with all units of its dimension; queries (node) are few enough for a task."""
-    mine = units.join(queries, "node", "left_semi").select("node", "unit", "dim").collect()
-    dims = {d: ([r.node for r in mine if r.dim == d], _matrix([bytes(r.unit) for r in mine if r.dim == d])) for d in {r.dim for r in mine}}
+def _asks(cells: dict[int, Cells], share: float, ef: int, least: int):
+    """Queries at the blocks of the nearest of their cells, that share of them, and how many a walk there holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.small(batches, 2048):
-            node, unit, dim = batch.column("node").to_numpy(), batch.column("unit").to_pylist(), batch.column("dim").to_numpy()
-            for d, (ids, x) in dims.items():
-                at = np.flatnonzero(dim == d)
-                if not len(at):
-                    continue
-                sim = x @ _matrix([unit[i] for i in at]).T
-                sim[np.array(ids)[:, None] == node[at]] = -9
-                m = min(top, len(at))
-                best = np.argpartition(-sim, m - 1, 1)[:, :m]
-                sizes = np.full(len(ids), m)
-                yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "others": _lists(sizes, pa.array(node[at][best].reshape(-1))), "sims": _lists(sizes, pa.array(np.take_along_axis(sim, best, 1).reshape(-1), pa.float32()))})
-
-    found = units.select("node", "unit", "dim").mapInArrow(run, _FOUND)
-    found = _best(found, top, units.limit(0).select("node", F.array().cast("array<bigint>").alias("others"), F.array().cast("array<float>").alias("sims"), "unit"))
-    return {r.node: [s for s in r.sims if s > -9] for r in found.collect()}
-
-
-def long_enough(units: DataFrame, links: DataFrame, queries: DataFrame, top: int, ef: int = EF) -> tuple[int, float]:
-    """ef, doubled until a walk finds SAFE of the top that brute force finds for TRIED of queries, or until it holds all units; and the recall there.
-
-    A walk's find counts as right if it's at least as near as the last of the top.
+        for c, node, x in _by_cells(batches, cells, 1024):
+            order = np.argsort(-(x @ c.centers.T), 1)[:, : ceil(share * len(c.centers))]
+            held = np.maximum(least, ef >> np.log2(np.arange(order.shape[1]) + 1).astype(np.int64))
+            row, cell = np.repeat(np.arange(len(node)), order.shape[1]), order.ravel()
+            held = np.tile(held, len(node))
+            times = c.parts[cell]
+            block = np.repeat(c.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, held = np.repeat(row, times), np.repeat(held, times)
+            units = pa.array([u.tobytes() for u in x.astype(np.float16)], pa.binary()).take(pa.array(row))
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block.astype(np.int32)), "q": pa.array(node[row]), "query": units, "ef": pa.array(held.astype(np.int32))})
+
+    return run
+
+
+# The graph of a block: lists others and sims (n, k) of positions, best first, -1 and -9 where there is none
+
+
+def _best(ids: np.ndarray, sims: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, an entry once; of equal ones that in the leftmost column."""
+    order = np.argsort(ids, 1, kind="stable")
+    ids, sims, new = (np.take_along_axis(v, order, 1) for v in (ids, sims, new))
+    sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -9
+    order = np.argsort(-sims, 1, kind="stable")[:, :k]
+    ids, sims, new = (np.take_along_axis(v, order, 1) for v in (ids, sims, new))
+    return np.where(sims > -5, ids, -1), sims, new & (sims > -5)
+
+
+def _leaves(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Lists from the leaves of TREES trees."""
+    n = len(x)
+    others, sims = np.full((n, k), -1, np.int32), np.full((n, k), -9, np.float32)
+    for _ in range(TREES):
+        leaves = [np.arange(n)]
+        while len(leaves[0]) > LEAF:
+            halves = []
+            for p in leaves:
+                a, b = x[p[rng.integers(len(p), size=2)]]
+                order, half = np.argpartition(x[p] @ (a - b), len(p) // 2), len(p) // 2
+                halves += [p[order[:half]], p[order[half:]]]
+            leaves = halves
+        for p in leaves:
+            sim = x[p] @ x[p].T
+            np.fill_diagonal(sim, -9)
+            m = min(k, len(p) - 1)
+            best = np.argpartition(-sim, m - 1, 1)[:, :m]
+            ids, all_sims = np.append(others[p], p[best].astype(np.int32), 1), np.append(sims[p], np.take_along_axis(sim, best, 1), 1)
+            others[p], sims[p], _ = _best(ids, all_sims, np.zeros(ids.shape, bool), k)
+    return others, sims
+
+
+def _offered(others: np.ndarray, sims: np.ndarray, new: np.ndarray, to: np.ndarray, other: np.ndarray, sim: np.ndarray) -> None:
+    """Merges what is found, which is new, into the lists."""
+    if not len(to):
+        return
+    order = np.argsort(to, kind="stable")
+    to, other, sim = to[order], other[order], sim[order]
+    start = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    size, k = np.diff(np.append(start, len(to))), others.shape[1]
+    for lo in range(0, len(start), 4096):
+        first, z = start[lo : lo + 4096], size[lo : lo + 4096]
+        r, here = to[first], slice(first[0], first[0] + z.sum())
+        row, col = np.repeat(np.arange(len(r)), z), k + np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)
+        wide = (len(r), k + int(z.max()))
+        i, s, f = np.full(wide, -1, np.int32), np.full(wide, -9, np.float32), np.ones(wide, bool)
+        i[:, :k], s[:, :k], f[:, :k] = others[r], sims[r], new[r]
+        i[row, col], s[row, col] = other[here], sim[here]
+        others[r], sims[r], new[r] = _best(i, s, f, k)
+
+
+def _members(others: np.ndarray, new: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """At each node a sample of its new entries, of those that have it as a new one, and both of old ones: size columns each, -1 for none.
+
+    A node that very many have as a neighbour hears of as few of them as any
+    other. New entries that are taken are old ones from now on.
     """
-    tried = stored(queries.select("node").distinct().orderBy(F.xxhash64(F.lit(5), "node")).limit(TRIED), "near-tried")
-    want, n = {q: x for q, x in exact(units, tried, top).items() if x}, units.count()
+    n = len(others)
+    out, mark = np.full((n, 4 * size), -1, np.int32), rng.random(others.shape, np.float32)
+    was = new.copy()
+    for j, kind in enumerate((was, ~was & (others >= 0))):
+        at = np.argpartition(np.where(kind, mark, 2), size - 1, 1)[:, :size]
+        taken = np.where(np.take_along_axis(kind, at, 1), np.take_along_axis(others, at, 1), -1)
+        out[:, 2 * j * size : (2 * j + 1) * size] = taken
+        row, col = np.nonzero(taken >= 0)
+        if not j:
+            new[row, at[row, col]] = False
+        deal = rng.permutation(len(row))
+        out[taken[row, col][deal], (2 * j + 1) * size + rng.integers(0, size, len(row))] = row[deal]
+    return out
+
+
+def _descended(x: np.ndarray, others: np.ndarray, sims: np.ndarray, stable: float, rng: np.random.Generator) -> np.ndarray:
+    """The lists after descent. An entry gives way only to a better one, so rounds change less and less."""
+    n, k = others.shape
+    size, new = min(SAMPLE, k), others >= 0
+    half, changed = 2 * size, 1.0
+    while changed >= stable:
+        members = _members(others, new, size, rng)
+        left, least, found, held = int(new.sum()), sims[:, -1].copy(), [], 0
+        for lo in range(0, n, 1024):
+            m = members[lo : lo + 1024]
+            some, at = m >= 0, np.maximum(m, 0)
+            y = x[at]
+            sim = np.matmul(y[:, :half], y.transpose(0, 2, 1))
+            worst = np.where(some, least[at], 9).astype(np.float32)
+            sim[m[:, :half, None] == m[:, None, :]] = -9
+            there = (sim > worst[:, :half, None]) & some[:, None, :]
+            back = (sim > worst[:, None, :]) & some[:, :half, None]
+            back[:, :, :half] = False  # pairs of new ones come up in both orders
+            for good, to, other in ((there, 1, 2), (back, 2, 1)):
+                where = np.nonzero(good)
+                found.append((m[where[0], where[to]], m[where[0], where[other]], sim[where]))
+                held += len(where[0])
+            if found and (held > HELD or lo + 1024 >= n):
+                _offered(others, sims, new, *(np.concatenate(v) for v in zip(*found, strict=True)))
+                least, found, held = sims[:, -1].copy(), [], 0
+        changed = (int(new.sum()) - left) / max(1, int((others >= 0).sum()))
+    return others
+
+
+def graph_of(x: np.ndarray, k: int = K, stable: float = STABLE) -> np.ndarray:
+    """(n, 2 * k) positions that each vector is linked to, -1 for none: its neighbours, and some that have it as one."""
+    n, rng = len(x), np.random.default_rng(11)
+    k = min(k, n - 1)
+    if not k:
+        return np.full((n, 1), -1, np.int32)
+    others = _descended(x, *_leaves(x, k, rng), stable, rng)
+    links = np.append(others, np.full((n, k), -1, np.int32), 1)
+    row, col = np.nonzero(others >= 0)
+    deal = rng.permutation(len(row))
+    links[others[row, col][deal], k + rng.integers(0, k, len(row))] = row[deal]
+    return links
+
+
+def _graph(table: pa.Table) -> pa.Table:
+    """A block's graph, in rows of ROW nodes."""
+    table = table.sort_by("node").combine_chunks()
+    node, units = table.column("node").to_numpy(), table.column("unit").to_pylist()
+    links = graph_of(_matrix(units))
+    at = range(0, len(node), ROW)
+    kept = {"nodes": [node[i : i + ROW].tobytes() for i in at], "units": [b"".join(units[i : i + ROW]) for i in at], "links": [links[i : i + ROW].tobytes() for i in at]}
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(at), pa.int32()), "row": pa.array(range(len(at)), pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in kept.items()})
+
+
+def build_graph(units: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """(block, row, nodes, units, links) over units (node, unit, dim): each block's graph, as bytes; links are positions in the order of rows and nodes."""
+    placed = units.mapInArrow(_placed(cells), "block int, node bigint, unit binary")
+    return stored(placed.groupBy("block").applyInArrow(_graph, _GRAPH), "near-graph")
+
+
+# Search
+
+
+class _Seen:
+    """What is told apart by walks side by side: the latest turn in which one of them met a node."""
+
+    def __init__(self, n: int):
+        self.turns, self.next = np.full(ABREAST * n, -1, np.int32), 0
+
+    def begin(self) -> int:
+        """The first turn of new walks."""
+        if self.next > 1 << 30:
+            self.turns[:], self.next = -1, 0
+        return self.next
+
+    def once(self, key: np.ndarray, first: int) -> np.ndarray:
+        """Where keys are that no turn since first has met, each once."""
+        at = np.flatnonzero(self.turns.take(key) < first)
+        key = key[at]
+        turn = np.arange(self.next, self.next + len(at), dtype=np.int32)
+        self.next += len(at)
+        self.turns[key] = turn
+        return at[self.turns.take(key) == turn]
+
+
+def _walk(x: np.ndarray, links: np.ndarray, queries: np.ndarray, ef: int, step: int, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
+    """The ef best positions that a greedy walk finds for each of ABREAST queries or fewer, and their sims; -1 and -9 for none."""
+    n, live, first = len(x), np.arange(len(queries)), seen.begin()
+    ids, sims, done = np.full((len(live), ef), -1, np.int32), np.full((len(live), ef), -9, np.float32), np.ones((len(live), ef), bool)
+    entries = np.arange(0, n, ENTRY if n > ENTRY * BEGUN else max(1, n // BEGUN), dtype=np.int32)
+    m = min(BEGUN, len(entries))
+    met = entries[np.argpartition(-(queries @ x[entries].T), m - 1, 1)[:, :m]]
     while True:
-        state = search(units, links, tried, ef)
-        hits = sum(min(len(want[r.q]), sum(s >= want[r.q][-1] - 1e-6 for s in r.sims)) for r in state.select("q", "sims").collect() if r.q in want)
-        recall = hits / max(1, sum(map(len, want.values())))
-        if not want or recall >= SAFE or ef >= n:
-            return ef, recall if want else 1.0
-        ef *= 2
-
-
-def _walked(ef: int, step: int):
-    """A query's state with the candidates that it hasn't seen: scored, put in order, cut to ef; open are those to expand next."""
-
-    def run(state: pa.Table, found: pa.Table) -> pa.Table:
-        row = state.to_pylist()[0]
-        others, sims, expanded = np.array(row["others"], np.int64), np.array(row["sims"], np.float32), np.array(row["expanded"], bool)
-        if len(found):
-            ids = found.column("other").to_numpy()
-            sim = _matrix(found.column("unit").to_pylist()) @ np.frombuffer(row["query"], np.float16).astype(np.float32)
-            row["seen"] = row["seen"] + ids.tolist()
-            others, sims, expanded = np.append(others, ids), np.append(sims, sim), np.append(expanded, np.zeros(len(ids), bool))
-            order = np.lexsort((others, -sims))[:ef]
-            others, sims, expanded = others[order], sims[order], expanded[order]
-        at = np.flatnonzero(~expanded)[:step]
-        expanded[at] = True
-        row |= {"others": others.tolist(), "sims": sims.tolist(), "expanded": expanded.tolist(), "open": others[at].tolist()}
-        lists = {"others": pa.list_(pa.int64()), "sims": pa.list_(pa.float32()), "seen": pa.list_(pa.int64()), "open": pa.list_(pa.int64()), "expanded": pa.list_(pa.bool_())}
-        return pa.table({c: pa.array([row[c]], lists.get(c, pa.int64() if c == "q" else pa.binary())) for c in ("q", "query", "others", "sims", "seen", "open", "expanded")})
+        flat, at = met.ravel(), np.flatnonzero(met.ravel() >= 0)
+        at = at[seen.once((met + live[:, None] * n).ravel()[at], first)]
+        row, other = at // met.shape[1], flat.take(at)
+        sim, bounds = np.empty(len(at), np.float32), np.searchsorted(row, np.arange(len(live) + 1))
+        for i, q in enumerate(live):
+            here = slice(bounds[i], bounds[i + 1])
+            sim[here] = x.take(other[here], 0) @ queries[q]
+        good = np.flatnonzero(sim > sims[live, -1][row])
+        row, other, sim = row[good], other[good], sim[good]
+        size = np.bincount(row, minlength=len(live))
+        wide, col = (len(live), ef + int(size.max())), ef + np.arange(len(row)) - (np.cumsum(size) - size)[row]
+        i, s, d = np.full(wide, -1, np.int32), np.full(wide, -9, np.float32), np.ones(wide, bool)
+        i[:, :ef], s[:, :ef], d[:, :ef] = ids[live], sims[live], done[live]
+        i[row, col], s[row, col], d[row, col] = other, sim, False
+        order = np.argsort(-s, 1, kind="stable")[:, :ef]
+        i, s, d = (np.take_along_axis(v, order, 1) for v in (i, s, d))
+        open_ = ~d & (np.cumsum(~d, 1, dtype=np.int32) <= step)
+        ids[live], sims[live], done[live] = i, s, d | open_
+        count = open_.sum(1)
+        going = count > 0
+        live, count = live[going], count[going]
+        if not len(live):
+            return ids, sims
+        row, col = np.nonzero(open_[going])
+        nodes = np.full((len(live), int(count.max())), -1, np.int32)
+        nodes[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = i[going][row, col]
+        met = links.take(np.maximum(nodes, 0), 0)
+        met[nodes < 0] = -1
+        met = met.reshape(len(live), -1)
+
+
+def _walked(top: int, step: int):
+    """For a block's queries what walks of its graph find and what can be among the top, without the query itself."""
+
+    def run(graph: pa.Table, asks: pa.Table) -> pa.Table:
+        out = {"q": [], "sizes": [], "others": [], "sims": []}
+        if len(graph) and len(asks):
+            graph = graph.sort_by("row")
+            joined = lambda c, kind: np.frombuffer(b"".join(graph.column(c).to_pylist()), kind)
+            node = joined("nodes", np.int64)
+            x, links = joined("units", np.float16).reshape(len(node), -1).astype(np.float32), joined("links", np.int32).reshape(len(node), -1)
+            q, held, units = asks.column("q").to_numpy(), asks.column("ef").to_numpy(), asks.column("query").to_pylist()
+            order, seen = np.lexsort((q, held)), _Seen(len(node))
+            for ef in np.unique(held):
+                mine = order[held[order] == ef]
+                abreast = max(1, min(ABREAST, (1 << 22) // int(ef)))
+                for lo in range(0, len(mine), abreast):
+                    at = mine[lo : lo + abreast]
+                    ids, sims = _walk(x, links, _matrix([units[i] for i in at]), min(int(ef), len(node)), min(step, int(ef)), seen)
+                    others = node[np.maximum(ids, 0)]
+                    sims[others == q[at][:, None]] = -9
+                    last = -np.partition(-sims, min(top, sims.shape[1]) - 1, 1)[:, min(top, sims.shape[1]) - 1] - COARSE
+                    good = (sims >= last[:, None]) & (sims > -5)
+                    for c, v in (("q", q[at]), ("sizes", good.sum(1)), ("others", others[good]), ("sims", sims[good])):
+                        out[c].append(v)
+        each = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+        return pa.table({"q": pa.array(each["q"], pa.int64()), "others": _lists(each["sizes"], pa.array(each["others"], pa.int64())), "sims": _lists(each["sizes"], pa.array(each["sims"], pa.float32()))})
 
     return run
 
 
-def search(units: DataFrame, links: DataFrame, queries: DataFrame, ef: int = EF, step: int = STEP) -> DataFrame:
-    """(q, others, sims, ...): the ef best that a greedy walk over links finds for each of queries (node), which are nodes."""
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    start = units.join(queries.select("node").distinct(), "node", "left_semi")
-    open_ = stored(start.select(F.col("node").alias("q"), F.col("unit").alias("query"), none("bigint").alias("others"), none("float").alias("sims"), F.array("node").alias("seen"), F.array("node").alias("open"), none("boolean").alias("expanded")), "near-state")
-    names, done = units.select(F.col("node").alias("other"), "unit"), []
-    while not open_.isEmpty():
-        met = open_.select("q", F.explode("open").alias("node")).join(links, "node").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("met"))
-        fresh = open_.select("q", "seen").join(met, "q").select("q", F.explode(F.array_except("met", "seen")).alias("other"))
-        found = fresh.join(names, "other").select(F.col("q").alias("__q"), "other", "unit").groupBy("__q")
-        state = stored(open_.groupBy("q").cogroup(found).applyInArrow(_walked(ef, min(step, ef)), _STATE), "near-state")
-        done.append(state.filter("size(open) = 0"))
-        open_ = state.filter("size(open) > 0")
-    out = start.select(F.col("node").alias("q"), F.col("unit").alias("query"), none("bigint").alias("others"), none("float").alias("sims"), none("bigint").alias("seen"), none("bigint").alias("open"), none("boolean").alias("expanded")).limit(0)
-    for part in done:
-        out = out.union(part)
+def search(graph: DataFrame, asking: DataFrame, cells: dict[int, Cells], share: float, top: int, ef: int = EF, step: int = STEP) -> DataFrame:
+    """(q, list): for each of asking (node, unit, dim) what walks find and what can be among the top, an array of (sims, others), best first."""
+    asks = stored(asking.mapInArrow(_asks(cells, share, ef, min(ef, max(top + 1, BEGUN))), "block int, q bigint, query binary, ef int"), "near-asks")
+    parts = [(r.block, ceil(r["count"] / ASKS)) for r in asks.groupBy("block").count().collect()]
+    if not parts:
+        return asks.select("q", F.array().cast("array<struct<sims:float,others:bigint>>").alias("list"))
+    tasks = F.broadcast(asks.sparkSession.createDataFrame(parts, "block int, parts int"))
+    asks = asks.join(tasks, "block").select("block", F.pmod(F.xxhash64(F.lit(23), "q"), F.col("parts")).cast("int").alias("part"), "q", "query", "ef")
+    walked = graph.join(tasks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "row", "nodes", "units", "links")
+    found = walked.groupBy("block", "part").cogroup(asks.groupBy("block", "part")).applyInArrow(_walked(top, step), _FOUND)
+    listed = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("sims", "others"))), asc=False)
+    return found.groupBy("q").agg(listed.alias("list"))
+
+
+def exact(units: DataFrame, queries: list, cells: dict[int, Cells], top: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Each query's top sims, by comparing it with all units of its dimension, and the share of cells that reaches each of them; queries (node, unit, dim) are few."""
+    mine = {d: ([r.node for r in queries if r.dim == d], _matrix([r.unit for r in queries if r.dim == d])) for d in {r.dim for r in queries}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for c, node, x in _by_cells(batches, cells, 2048):
+            d = x.shape[1]
+            if d in mine:
+                ids, asked = mine[d]
+                sim, cell = asked @ x.T, np.broadcast_to((x @ c.centers.T).argmax(1).astype(np.int32), (len(ids), len(x)))
+                sim[np.array(ids)[:, None] == node] = -9
+                if d in best:
+                    sim, cell = np.append(best[d][0], sim, 1), np.append(best[d][1], cell, 1)
+                at = np.argpartition(-sim, min(top, sim.shape[1]) - 1, 1)[:, :top]
+                best[d] = np.take_along_axis(sim, at, 1), np.take_along_axis(cell, at, 1)
+        for d, (sim, cell) in best.items():
+            yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(mine[d][0], sim.shape[1]), pa.int64()), "sim": pa.array(sim.ravel(), pa.float32()), "cell": pa.array(cell.ravel(), pa.int32())})
+
+    found: dict[int, list] = {}
+    for r in units.mapInArrow(run, "q bigint, sim float, cell int").collect():
+        found.setdefault(r.q, []).append((r.sim, r.cell))
+    out = {}
+    for d, (ids, asked) in mine.items():
+        rank = np.argsort(np.argsort(-(asked @ cells[d].centers.T), 1), 1)
+        for i, q in enumerate(ids):
+            near = [p for p in sorted(found.get(q, []), reverse=True)[:top] if p[0] > -5]
+            if near:
+                out[q] = np.array([s for s, _ in near]), (rank[i][[c for _, c in near]] + 1) / len(cells[d].centers)
     return out
 
 
+def far_enough(units: DataFrame, graph: DataFrame, asking: DataFrame, cells: dict[int, Cells], largest: int, top: int, ef: int = EF) -> tuple[int, float, float]:
+    """ef, doubled, and the share of cells, raised, until walks find SAFE of the top that brute force finds for TRIED of asking; and the recall there.
+
+    At last a walk holds all of a block, and all cells are walked. A walk's
+    find counts as right if it's at least as near as the last of the top.
+    """
+    tried = stored(asking.orderBy(F.xxhash64(F.lit(5), "node")).limit(TRIED), "near-tried")
+    want = exact(units, tried.collect(), cells, top)
+    if not want:
+        return ef, 1.0, 1.0
+    reach = np.sort(np.concatenate([shares for _, shares in want.values()]))
+    share = float(reach[ceil((1 + SAFE) / 2 * len(reach)) - 1])
+    most = largest * max(len(c.centers) for c in cells.values())
+    while True:
+        got = search(graph, tried, cells, share, top, ef).collect()
+        sweep(units.sparkSession)  # a graph's shuffle files
+        hits = sum(min(len(want[r.q][0]), sum(e.sims >= want[r.q][0][-1] - 1e-6 for e in r["list"])) for r in got if r.q in want)
+        recall = hits / len(reach)
+        if recall >= SAFE or (ef >= most and share >= 1):
+            return ef, share, recall
+        ef, share = ef * 2, 1.0 if ef >= largest else min(1.0, share * 1.1)
+
+
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.small(batches, 4096):
         x, y = (batch.column(c).to_pylist() for c in "xy")
         score = np.zeros(len(x))
-        for at in _by_dim(x):
+        for at in _by_dim(np.array([len(v) for v in x])):
             a, b = _scaled([x[i] for i in at]), _scaled([y[i] for i in at])
             score[at] = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
         yield T.with_columns(batch.drop_columns(["x", "y"]), {"score": pa.array(score)})
@@ -395,18 +528,25 @@ def nearest(vectors: DataFrame, asked: Column, top: int = 5, vec_id: str = "vec_
     of them all are returned; an empty table gives an empty one.
     """
     rows = stored(usable(vectors, vec_id, embedding), "near-vectors")
-    nodes = stored(nodes_of(rows, top + 1), "near-nodes")
-    units = stored(nodes.select("node", "vec").mapInArrow(_units(TREES), "node bigint, unit binary, dim int, codes array<bigint>"), "near-units")
-    queries = rows.filter(asked)
+    nodes, queries = stored(nodes_of(rows, top + 1), "near-nodes"), stored(rows.filter(asked), "near-queries")
+    release(rows)
+    units = stored(nodes.select("node", "vec").mapInArrow(_units, "node bigint, unit binary, dim int"), "near-units")
     asking = queries.groupBy("vec").agg(F.count(F.lit(1)).alias("copies")).join(nodes.select("node", "vec"), "vec").select("node", "copies", F.col("vec").alias("__vec"))
     asking = stored(asking, "near-asking")
-    links = links_of(build_graph(units))
-    state = search(units, links, asking.select("node"), long_enough(units, links, asking.select("node"), top, ef)[0])
+    walking = stored(units.join(asking.select("node"), "node", "left_semi"), "near-walking")
+    cells, largest = cells_of(units)
+    sweep(units.sparkSession)
+    graph = build_graph(units, cells)
+    sweep(units.sparkSession)
+    ef, share, _ = far_enough(units, graph, walking, cells, largest, top, ef)
+    release(units)
+    state = stored(search(graph, walking, cells, share, top, ef), "near-found")
+    release(graph)
     # What can be among the top by the vectors themselves, and the node's own copies.
-    last = F.coalesce(F.get("sims", F.lit(top)), F.lit(-2.0)) - F.lit(COARSE)
-    near = F.transform(F.filter(F.arrays_zip("others", "sims"), lambda x: x["sims"] >= last), lambda x: x["others"])
-    pairs = state.select("q", F.explode(F.concat(near, F.array("q"))).alias("other"))
-    x = nodes.select(F.col("node").alias("q"), F.col("vec").alias("x"))
+    last = F.coalesce(F.get("list", F.lit(top - 1))["sims"], F.lit(-2.0)) - F.lit(COARSE)
+    near = F.transform(F.filter("list", lambda e: e["sims"] >= last), lambda e: e["others"])
+    pairs = state.select("q", F.explode(near).alias("other")).union(asking.select("node", F.col("node")))
+    x = asking.select(F.col("node").alias("q"), F.col("__vec").alias("x"))
     y = nodes.select(F.col("node").alias("other"), F.col("vec").alias("y"), "ids")
     scored = pairs.join(y, "other").join(x, "q").select("q", "other", "ids", "x", "y").mapInArrow(_cosines, "q bigint, other bigint, ids array<bigint>, score double")
     each = scored.select("q", "score", (F.col("q") == F.col("other")).alias("own"), F.explode("ids").alias("id"))

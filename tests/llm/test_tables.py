@@ -257,6 +257,47 @@ def test_search_is_widened_until_recall_is_safe(spark):
     assert recall(dict(enumerate(x)), found, range(0, 3000, 25)) >= 0.93
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have shuffled."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_vectors_travel_a_few_times_only(spark):
+    """A round of descent by joins sends each vector to all whose neighbours it may be: some 50 KB for each vector of 64 components."""
+    n = 12_000
+    x = np.random.default_rng(7).normal(size=(n, 64))
+    df = stored(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), "test")
+    before, found = shuffled(spark), {}
+    for r in neighbours.nearest(df, F.col("id") % 50 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert 256 * n < shuffled(spark) - before < 4096 * n
+    assert recall(dict(enumerate(x)), found, range(0, n, 50)) >= 0.93
+
+
+def test_blocks_are_bounded_and_hold_all(spark, monkeypatch):
+    """Vectors that lie close together are cut into blocks too, and a query walks all parts of its cell."""
+    monkeypatch.setattr(neighbours, "BLOCK", 600)
+    monkeypatch.setattr(neighbours, "LEAST", 600)
+    monkeypatch.setattr(neighbours, "ASKS", 40)
+    x = np.random.default_rng(8).normal(size=(4000, 16))
+    x[:3000] = x[0] + 0.3 * x[:3000]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    units = stored(df.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec")).mapInArrow(neighbours._units, "node bigint, unit binary, dim int"), "test")
+    cells, largest = neighbours.cells_of(units)
+    graph = neighbours.build_graph(units, cells).collect()
+    sizes = {}
+    for r in graph:
+        sizes[r.block] = sizes.get(r.block, 0) + len(r.nodes) // 8
+    assert sum(sizes.values()) == 4000 and max(sizes.values()) <= 1200 and largest <= 1200
+    assert sorted(i for r in graph for i in np.frombuffer(bytes(r.nodes), np.int64)) == list(range(4000))
+    found = {}
+    for r in neighbours.nearest(df, F.col("id") % 40 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(range(0, 4000, 40)) and recall(dict(enumerate(x)), found, found) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, []), (1, [2.0, 0.0]), (10, [3.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"id": F.lit(1), "vec": F.lit(2), "center": F.lit(3)})
