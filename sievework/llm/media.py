@@ -10,7 +10,8 @@ columns come from range reads of the first HEADER bytes of each member.
 Files are written and read through the file system that the folder's URI names
 (pyarrow.fs). A task that is lost leaves a file that no row points to, and its
 successor writes its own. The texts are read where they are and not shuffled;
-shuffled are rows of about 150 bytes.
+shuffled are rows of about 150 bytes. Digests are 32 bytes in tables between
+steps, and hexadecimal in what is returned.
 """
 
 from __future__ import annotations
@@ -124,16 +125,20 @@ def _writing(folder: str):
             rows = []
             for text in batch.column("text").to_pylist():
                 raw = payload(text)
-                digest = hashlib.sha256(raw).hexdigest()
-                rows.append((len((text or "").encode()), digest, *writer.add(digest, raw)))
+                digest = hashlib.sha256(raw)
+                rows.append((len((text or "").encode()), digest.digest(), *writer.add(digest.hexdigest(), raw)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))
+            kinds = (("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))
             yield T.with_columns(batch.drop_columns(["text"]), {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
         writer.close()
 
     return run
 
 
+def _hex(digest: str):
+    return F.lower(F.hex(digest))
+
+
 _REF = ("n_bytes", "digest", "shard", "offset", "length")
 
 
@@ -141,7 +146,7 @@ def _written(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rows with n_bytes and digest, and for each digest the one place that rows are to point to, and how many rows there are."""
     docs = docs.drop(*_REF)
     rest = [f for f in docs.schema if f.name != "text"]
-    refs = stored(docs.mapInArrow(_writing(folder), T.schema_of(rest, "n_bytes bigint", "digest string", "shard string", "offset bigint", "length bigint")), "media-refs")
+    refs = stored(docs.mapInArrow(_writing(folder), T.schema_of(rest, "n_bytes bigint", "digest binary", "shard string", "offset bigint", "length bigint")), "media-refs")
     return refs, _placed(refs)
 
 
@@ -159,7 +164,8 @@ def store_media(docs: DataFrame, folder: str) -> DataFrame:
     replaced, others pass; an empty table writes no file.
     """
     refs, one = _written(docs, folder)
-    whole = stored(answered(refs.drop("shard", "offset", "length"), one, {"digest": "__digest"}, how="inner"), "media-rows")
+    rows = answered(refs.drop("shard", "offset", "length"), one, {"digest": "__digest"}, how="inner")
+    whole = stored(rows.withColumn("digest", _hex("digest")), "media-rows")
     release(refs, one)
     return whole
 
@@ -180,18 +186,17 @@ def _ranges(folder: str, batch: pa.RecordBatch, size: int | None) -> Iterator[by
 def _members(places: DataFrame) -> DataFrame:
     """Payloads in the order of the shards, about READ bytes to a task, so that each reads few files from front to back."""
     size = places.agg(F.sum("length")).first()[0] or 0
-    rows = places.select("__digest", "shard", "offset", "length")
-    return rows.repartitionByRange(max(1, -(-size // READ)), F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
+    return places.repartitionByRange(max(1, -(-size // READ)), F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
 
 
-_HEADER = "width int, height int, bits int"
+_HEADER = ("width int", "height int", "bits int")
 
 
 def _heads(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(zip(*(header(x) for x in _ranges(folder, batch, HEADER)), strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_pydict({"__digest": batch.column("__digest")} | {c: pa.array(x, pa.int32()) for c, x in zip(("width", "height", "bits"), found, strict=True)})
+            yield T.with_columns(batch, {c: pa.array(x, pa.int32()) for c, x in zip(("width", "height", "bits"), found, strict=True)})
 
     return run
 
@@ -200,8 +205,8 @@ def with_headers(refs: DataFrame, folder: str) -> DataFrame:
     """refs with width, height and bits of its media, from reads of HEADER bytes."""
     refs = refs.drop("width", "height", "bits")
     places = _placed(refs)
-    seen = stored(_members(places).mapInArrow(_heads(folder), f"__digest string, {_HEADER}"), "media-headers")
-    return answered(refs, stored(seen.join(places.select("__digest", "copies"), "__digest"), "media-heads"), {"digest": "__digest"}, how="inner")
+    heads = _members(places).mapInArrow(_heads(folder), T.schema_of(places.schema, *_HEADER))
+    return answered(refs, stored(heads.drop("shard", "offset", "length"), "media-heads"), {"digest": "__digest"}, how="inner")
 
 
 def read_media(refs: DataFrame, folder: str) -> DataFrame:
@@ -215,18 +220,23 @@ def read_media(refs: DataFrame, folder: str) -> DataFrame:
     return _members(_placed(refs)).mapInArrow(run, "digest string, payload binary, media binary")
 
 
+_DIGESTS = ("payload_bytes bigint", "tail_crc32 bigint", "media_bytes bigint", "media_digest binary", "feature string")
+
+
 def _digested(folder: str):
+    heads = _heads(folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in heads(batches):
             rows = []
             for digest, media in zip(batch.column("__digest").to_pylist(), _ranges(folder, batch, None), strict=True):
                 raw = decoded(media)
-                if hashlib.sha256(raw).hexdigest() != digest:
+                if hashlib.sha256(raw).digest() != digest:
                     raise ValueError("a payload differs from its digest")
-                rows.append((len(raw), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(raw)))
+                rows.append((len(raw), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).digest(), feature(raw)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
-            yield pa.RecordBatch.from_pydict({"__digest": batch.column("__digest")} | {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
+            kinds = (("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_digest", pa.binary()), ("feature", pa.string()))
+            yield T.with_columns(batch, {name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)})
 
     return run
 
@@ -234,15 +244,14 @@ def _digested(folder: str):
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     """Every text as a picture in a tar shard, read back: digests and features of what was stored.
 
-    What is read back, headers by range reads and whole payloads, is joined by
-    payload, and then once to the rows.
+    What is read back, headers by range reads and then whole payloads, goes on
+    with the payload's place, and is joined once to the rows.
     """
     folder = new_folder(spark, "media")
     refs, places = _written(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
-    heads = stored(_members(places).mapInArrow(_heads(folder), f"__digest string, {_HEADER}"), "media-headers")
-    found = stored(_members(places).mapInArrow(_digested(folder), "__digest string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"), "media-digests")
-    known = stored(places.join(found, "__digest").join(heads.select(F.col("__digest"), "width", "height"), "__digest"), "media-known")
-    release(heads, found, places)
+    found = _members(places).mapInArrow(_digested(folder), T.schema_of(places.schema, *_HEADER, *_DIGESTS))
+    known = stored(found.drop("length", "bits"), "media-known")
+    release(places)
     rows = answered(refs.select("doc_id", "n_bytes", "digest"), known, {"digest": "__digest"}, how="inner")
     # The digest is that of the bytes read back: any other is an error there.
-    return rows.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", _hex("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", _hex("media_digest").alias("media_sha256"), "feature", "width", "height", "shard", "offset")

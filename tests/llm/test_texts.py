@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from conftest import alike_to_a_polynomial, sf
 from pyspark.sql import functions as F
+from test_tables import shuffled
 
 from sievework.llm import _text as T
 from sievework.llm import lm_scoring, media, pii, quality, subword, toxicity
@@ -380,6 +381,28 @@ def test_op6_digests(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(texts[r.doc_id].encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), media.feature(raw))
 
 
+def test_op6_keeps_little_beside_the_shards(spark):
+    """A join by payload for each thing read back shuffled 700 bytes a row and more beside the shards, which are most of the disk."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        rows = media.op6_media_columns(spark, sf("0.1")).collect()
+        assert 64 * len(rows) < shuffled(spark) - before < 480 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_op6_of_odd_tables(tmp_path, spark, docs, empty):
+    order = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    for name, table in (("odd", docs), ("empty", empty)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = media.op6_media_columns(spark, str(tmp_path / name)).collect()
+        texts = [(r.doc_id, len((r.text or "").encode()), media.payload(r.text)) for r in table.collect()]
+        want = [(i, n, len(p), hashlib.sha256(p).hexdigest(), hashlib.sha256(media.encoded(p)).hexdigest(), len(p) // 576) for i, n, p in texts]
+        assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.media_sha256, r.height) for r in rows), key=order) == sorted(want, key=order)
+        assert len({(r.shard, r.offset) for r in rows}) == len({r.payload_sha256 for r in rows})
+
+
 # SentencePiece
 
 TEXTS = ["", None, " ", "  a", "\n", "a" * 300, "é́ﬁ①", " " * 40 + "x", "日本語 テキスト", "x" * 70000 + " hello" * 3, "\t\r\n  z", "<s> </s> <0x0A>", "hello world, hello"]
