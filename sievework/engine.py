@@ -34,6 +34,10 @@ UNHANDLED = "unhandled-exception"
 class JdbcClient:
     """A named database; its tables are read by Spark's JDBC source.
 
+    The executors connect to url too, so it must name a database that all of
+    them reach: one in the driver's memory is there only where the driver runs
+    the tasks itself (see sources/derby.py for one in a file).
+
     split names, for large tables, a whole-number or date column with its least
     and greatest value, and the number of connections that read its ranges at
     once: {table: (column, least, greatest, connections)}. Columns that a lookup

@@ -14,7 +14,7 @@ from .engine import AUTO_COPIED, JdbcClient, Pipeline
 from .functions.convert import TrimConfig
 from .functions.schema import Field, Schema
 from .operators import frame, typing
-from .sources import sink
+from .sources import derby, sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,8 +265,7 @@ def add_if_missing(spark, d):
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, n_name, CASE WHEN n_nationkey IS NULL THEN 'no row found' END AS why FROM supplier LEFT JOIN nation ON CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE -1 - s_nationkey END = n_nationkey")
 def jdbc_lookup(spark, d):
-    url = f"jdbc:derby:memory:sievework{uuid.uuid4().hex};create=true"
-    table(spark, d, "nation").write.jdbc(url, "nation", mode="overwrite")
+    url = derby.packed(table(spark, d, "nation"), "nation", f"{shared_folder(spark, 'nation')}.jar")
     df = table(spark, d, "supplier").withColumn("place", F.expr("CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE -1 - s_nationkey END"))
     find = act("jdbc-lookup", {"jdbcClient": "db", "select": ["N_NAME"], "fromDBTable": "nation", "where": "n_nationkey = '$input.place'", "onFail": [act("reject", {"reasonFrom": "jdbc-lookup"})]})
     out = run(df, items([find], [act("add-rejection-reason", {"field": "why"})]), "s_suppkey", "N_NAME", "why", clients=[JdbcClient("db", url)])
