@@ -19,7 +19,7 @@ from .operators.checks import true_checker
 from .plans import config as C
 from .plans import lookups
 from .queries import _lookup, act, add, items, query, run, shared_folder, table
-from .sources import files, sink
+from .sources import derby, files, sink
 
 KEYS = ("event_id", "event_type")
 
@@ -138,10 +138,7 @@ def lookup_planning(spark, d):
 FROM (SELECT s_suppkey, count(n_name) AS n, min(n_name) AS found FROM supplier LEFT JOIN nation ON n_nationkey >= s_nationkey AND n_nationkey <= s_nationkey + s_suppkey % 3 - 1 OR upper(n_name) = 'no ' || s_suppkey GROUP BY 1)""")
 def jdbc_lookup_any_where(spark, d):
     """A condition with ranges, or, and a function; values that several records share are asked for once."""
-    import uuid
-
-    url = f"jdbc:derby:memory:sievework{uuid.uuid4().hex};create=true"
-    table(spark, d, "nation").write.jdbc(url, "nation", mode="overwrite")
+    url = derby.packed(table(spark, d, "nation"), "nation", f"{shared_folder(spark, 'nation')}.jar")
     where = "n_nationkey >= '$input.s_nationkey' AND n_nationkey <= $input.top OR upper(n_name) = concat('no ', $input.s_suppkey)"
     find = act("jdbc-lookup", {"jdbcClient": "db", "select": ["N_NAME"], "fromDBTable": "nation", "where": where, "onFail": [act("reject", {"reasonFrom": "jdbc-lookup"})]})
     df = table(spark, d, "supplier").withColumn("top", F.expr("s_nationkey + s_suppkey % 3 - 1"))

@@ -33,7 +33,7 @@ open(f"{folder}/rows", "w").write(json.dumps(rows))
 """
 
 
-@pytest.mark.parametrize("name", ["jdbc_lookup"])
+@pytest.mark.parametrize("name", ["jdbc_lookup", "jdbc_lookup_any_where"])
 def test_executors_reach_the_database(name, tmp_path):
     done = subprocess.run([sys.executable, "-c", RUN, str(tmp_path), name, DATA], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-3000:]
